@@ -88,18 +88,16 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, id_col: st
     targets = targets.withColumn("epochs", epochs).withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("upto", F.sum("n").over(run)).join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    limits = sums.groupBy("s").agg(
-        F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("epochs").alias("epochs"), F.first("left").alias("left"),
-        F.max(F.when(F.col("upto") <= F.col("left"), F.col("bucket"))).alias("whole"),
-        F.min(F.when(F.col("upto") > F.col("left"), F.col("bucket"))).alias("edge"),
-        F.min(F.when(F.col("upto") > F.col("left"), F.col("upto") - F.col("n"))).alias("base"),
+    decided = sums.select(
+        F.col("source").alias("s"), F.col("bucket").alias("b"), "source_size", "target", "epochs", "left",
+        (F.col("upto") - F.col("n")).alias("base"),
+        F.when(F.col("upto") <= F.col("left"), 1).when(F.col("upto") - F.col("n") >= F.col("left"), 0).alias("whole"),
     )
-    # one row a source: Spark broadcasts it if it is small
-    d = d.join(limits, F.col("source").eqNullSafe(F.col("s")))
-    inner = d.where("bucket = edge")
+    d = d.join(decided, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    inner = d.where("whole is null")
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     inner = inner.withColumn("before", F.col("base") + F.sum("size").over(order) - F.col("size"))
     inner = inner.withColumn("part", (2 * F.col("before") + F.col("size") <= 2 * F.col("left")).cast("long")).drop("before")
-    outer = d.where("edge is null or bucket <> edge").withColumn("part", F.coalesce(F.col("bucket") <= F.col("whole"), F.lit(False)).cast("long"))
+    outer = d.where("whole is not null").withColumn("part", F.col("whole").cast("long"))
     d = outer.unionByName(inner).withColumn("copies", F.col("epochs") + F.col("part"))
     return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

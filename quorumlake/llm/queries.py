@@ -4,14 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, id_crc, table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .matroska import media_digest, text_media
+
+    return media_digest(text_media(table(spark, sf_dir, "documents")))
+
+
+def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wavelet import shard_documents, write_shards
+
+    return shard_documents(write_shards(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), Scratch(spark)))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -35,6 +53,44 @@ FROM parts p
 """
 
 
+def fold(n: int, k: int) -> Column:
+    """Whether a row is in fold k of n by the crc32 of its doc_id."""
+    return F.pmod(id_crc("doc_id"), F.lit(n)) == k
+
+
+def quality_model(spark: SparkSession, sf_dir: str):
+    from .quality import fit
+
+    return fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~fold(5, 0)))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score
+
+    return score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir)).select("doc_id", fold(5, 0).alias("held_out"), "score", "predicted")
+
+
+def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe_fst import decode_digest, encode_documents
+
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    return decode_digest(encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path).drop("valid_utf8")
+
+
+def language_model(spark: SparkSession, sf_dir: str):
+    from .lang_mix import fit
+
+    return fit(table(spark, sf_dir, "documents").where(~fold(4, 2)))
+
+
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_mix import predict
+
+    return predict(table(spark, sf_dir, "documents"), language_model(spark, sf_dir)).select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight 1 for documents labelled good, 1/4 for others; ``mix_sources`` gives unlabelled ones 1."""
     return table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 0, 0.25).otherwise(1.0).alias("w"))

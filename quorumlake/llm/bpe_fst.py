@@ -306,8 +306,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean"
 
 
-def decode_digest(encoded: DataFrame, ranks_path: str) -> DataFrame:
+def decode_digest(encoded: DataFrame, ranks_path: str, *, with_ids: bool = False) -> DataFrame:
     """From ``doc_id, ids``: counts and hashes of the ids and of the bytes they decode to; null ids count as none."""
+    schema = DIGEST + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(ranks_path)
@@ -320,9 +321,9 @@ def decode_digest(encoded: DataFrame, ranks_path: str) -> DataFrame:
                 of_ids.append(hashlib.sha256(raw).hexdigest())
                 of_bytes.append(hashlib.sha256(data).hexdigest())
                 valid.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string()), pa.array(valid, pa.bool_())], [x.split()[0] for x in DIGEST.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string()), pa.array(valid, pa.bool_()), *batch.columns[1 : 1 + with_ids]], [x.split()[0] for x in schema.split(", ")])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, DIGEST)
+    return encoded.select("doc_id", "ids").mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:

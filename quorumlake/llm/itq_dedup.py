@@ -5,36 +5,39 @@ quantisation (Gong & Lazebnik, 2011): signs of the rotated sample and the rotati
 brings it nearest to them, in turn.  Directions are balanced by the rotation, and
 thresholds are zero because cosine is compared.  Every vector gets one bit for each axis.
 
-*Tables.*  A code is cut into ``TABLES`` parts; a table lists vectors by part and label.  A
-query looks up its part and all parts one bit away, so any pair with at most
-``2 * TABLES - 1`` different bits meets.  A pair that meets in several tables is judged in the first.
+*Tables.*  A code is cut into p parts; each table is keyed by the label and c of the parts, so any
+pair with at most ``p - c = 7`` different bits meets in a table.  (p, c) follow from the number
+of vectors, which keeps buckets short: (8, 1), (9, 2) or (10, 3).  In a bucket, codes at most
+``RADIUS`` bits apart make an edge; the components of these edges are groups of candidates.
 
-*Rerank.*  Pairs that meet within ``RADIUS`` bits are compared by cosine in double precision on the original vectors.
+*Rerank.*  Inside a group, vectors are compared by cosine in double precision.
 
-Equal vectors with equal labels are one class with a multiplicity.  A bucket is
-processed in blocks of bounded size and never as pairs of rows: only counts of links and the
-edges of a spanning forest leave a task.
+Equal vectors with equal labels are one class with a multiplicity.  Buckets and groups
+of more than ``BLOCK`` rows are cut and their cuts meet in pairs; pairs of rows never
+leave a task, only counts of links and the edges of spanning forests.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, mix64, partitions
 from .graph import connected_components
 
-#: Vectors the rotation is learned from at most; chosen by hash.
+#: Vectors the rotation is learned from, about; chosen by hash.
 SAMPLE = 4000
 ROUNDS = 30
-TABLES = 4
+BITS = 64
 RADIUS = 9
-#: Rows of one table bucket that are held at once; a larger bucket is cut and its cuts meet in pairs.
+#: Rows of a bucket or group that are compared at once.
 BLOCK = 2048
 
 
@@ -43,28 +46,28 @@ class ItqModel:
     rotation: np.ndarray  # (dimensions, bits)
 
     def codes(self, unit: np.ndarray) -> np.ndarray:
-        """Packed codes of unit vectors, bits in order."""
-        return np.packbits(unit @ self.rotation > 0, axis=1)
+        """Codes of unit vectors, one byte for each bit."""
+        return (unit @ self.rotation > 0).astype(np.uint8)
 
 
 def fit_rotation(sample: np.ndarray, rounds: int = ROUNDS, seed: int = 7) -> ItqModel:
-    """Axes and rotation from unit vectors; a seeded orthogonal rotation if there are too few."""
+    """Axes and rotation from unit vectors; a seeded rotation if there are too few."""
     d = sample.shape[1]
-    start = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, d)))[0]
-    if len(sample) < 2 * d:
-        return ItqModel(start)
-    _, axes = np.linalg.eigh(sample.T @ sample)
-    v, r = sample @ axes, start
-    for _ in range(rounds):
-        b = np.where(v @ r >= 0, 1.0, -1.0)
-        u, _, wt = np.linalg.svd(b.T @ v)
-        r = (u @ wt).T
+    bits = min(d, BITS)
+    r = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))[0]
+    axes = np.eye(d)[:, :bits]
+    if len(sample) >= 2 * d:
+        axes = np.linalg.eigh(sample.T @ sample)[1][:, ::-1][:, :bits]
+        v = sample @ axes
+        for _ in range(rounds):
+            b = np.where(v @ r >= 0, 1.0, -1.0)
+            u, _, wt = np.linalg.svd(v.T @ b)
+            r = u @ wt
     return ItqModel(axes @ r)
 
 
-def unit_rows(vectors: list, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def unit_rows(vectors: list, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(unit vectors as doubles, whether each is usable): not null, of the width, finite throughout, not zero."""
-    width = width if width is not None else next((len(v) for v in vectors if v is not None and len(v)), 0)
     ok = np.array([v is not None and len(v) == width and width > 0 and None not in v for v in vectors], bool)
     x = np.zeros((len(vectors), width))
     for i in np.flatnonzero(ok):
@@ -78,74 +81,202 @@ def unit_rows(vectors: list, width: int | None = None) -> tuple[np.ndarray, np.n
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0), ok
 
 
-def _near_parts(parts: np.ndarray, bits: int) -> np.ndarray:
-    """(rows, bits + 1): each part and its neighbours one bit away."""
-    return parts[:, None] ^ np.r_[0, 1 << np.arange(bits)][None, :]
+def tables_for(n: int) -> tuple[int, int]:
+    """(parts, parts in a key) for so many vectors."""
+    return (8, 1) if n <= 1_000_000 else (9, 2) if n <= 100_000_000 else (10, 3)
 
 
-def _codes(batches: Iterator[pa.RecordBatch], model: ItqModel) -> Iterator[pa.RecordBatch]:
+def table_keys(codes: np.ndarray, parts: int, chosen: int) -> np.ndarray:
+    """(rows, tables): the hashed key of each code in each table."""
+    weights = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
+    cut = [np.flatnonzero(np.arange(codes.shape[1]) * parts // codes.shape[1] == p) for p in range(parts)]
+    value = np.stack([(codes[:, c] * weights[: len(c)]).sum(1, dtype=np.uint64) for c in cut], 1)
+    keys = []
+    for t, some in enumerate(combinations(range(parts), chosen)):
+        key = np.full(len(codes), t + 1, np.uint64)
+        for p in some:
+            key = mix64(key + value[:, p])
+        keys.append(key)
+    return np.stack(keys, 1).view(np.int64)
+
+
+# ---------------------------------------------------------------- stages on executors
+
+
+def _facts(batches: Iterator[pa.RecordBatch], model: ItqModel, parts: int, chosen: int) -> Iterator[pa.RecordBatch]:
+    """Usable rows (vec_id, label, vector): digest of the vector, code, keys and vector as doubles of length one."""
     width = len(model.rotation)
     for batch in batches:
         unit, ok = unit_rows(batch.column(2).to_pylist(), width)
-        ok &= ~np.array([x is None for x in batch.column(1).to_pylist()], bool) if len(ok) else ok
-        code = model.codes(unit)
+        ok &= np.array([x is not None and i is not None for x, i in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True)], bool)
         keep = np.flatnonzero(ok)
-        rows = pa.array(keep)
+        unit = unit[keep]
+        codes = model.codes(unit)
+        packed = np.packbits(codes, axis=1)
+        rows = pa.array(keep, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([code[i].tobytes() for i in keep], pa.binary()), pa.array([unit[i].tobytes() for i in keep], pa.binary())],
-            ["vec_id", "label", "code", "unit"],
-        )
+            [
+                batch.column(0).take(rows), batch.column(1).take(rows),
+                pa.array([xxhash.xxh3_128_digest(u.tobytes()) for u in unit + 0.0], pa.binary()),
+                pa.array([c.tobytes() for c in packed], pa.binary()),
+                pa.array(list(table_keys(codes, parts, chosen)), pa.list_(pa.int64())),
+                pa.array([u.tobytes() for u in unit], pa.binary()),
+            ],
+            ["vec_id", "label", "digest", "code", "keys", "unit"],
+        )
+
+
+FACTS = "vec_id long, label long, digest binary, code binary, keys array<long>, unit binary"
+_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def _lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (vec_id, label, code, unit): one home row for each table and visiting rows without the vector for the buckets one bit away."""
+def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that span the components of a bipartite relation between two lists of ids."""
+    rows, cols = near.any(1), near.any(0)
+    near, left, right = near[rows][:, cols], left[rows], right[cols]
+    if not len(left):
+        return []
+    a, b = left.copy(), right.copy()
+    top = np.iinfo(np.int64).max
+    while True:  # least id spreads until nothing changes
+        b2 = np.minimum(b, np.where(near, a[:, None], top).min(0))
+        a2 = np.minimum(a, np.where(near, b2[None, :], top).min(1))
+        if (a2 == a).all() and (b2 == b).all():
+            break
+        a, b = a2, b2
+    pairs = np.concatenate([np.stack([left, a], 1), np.stack([right, b], 1)])
+    return [tuple(p) for p in np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0).tolist()]
+
+
+def _cuts(rows: DataFrame, key: Column, salt: str) -> DataFrame:
+    """Rows with a task ``k, i, j`` and side: a key's rows go to one task, or, if there are more than
+    ``BLOCK``, to a task for each pair of their cuts."""
+    sized = rows.withColumn("k", key)
+    big = sized.groupBy("k").count().where(F.col("count") > BLOCK).select("k", F.ceil(F.col("count") / BLOCK).cast("int").alias("cuts"))
+    sized = sized.join(big, "k", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    own = F.pmod(F.xxhash64(salt, F.lit("cut")), F.col("cuts")).cast("int")
+    sized = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    return sized.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "cuts")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Rows sorted by (k, i, j), group by group."""
+    task, rows = None, []
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        code = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, -1)
-        per = code.shape[1] // TABLES
-        for t in range(TABLES):
-            part = np.zeros(n, np.int64)
-            for byte in range(per):
-                part = part << 8 | code[:, t * per + byte]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(part), batch.column(1), batch.column(0), batch.column(2)], ["t", "part", "label", "vec_id", "code"])
+        for row in batch.to_pylist():
+            now = (row["k"], row["i"], row["j"])
+            if now != task:
+                if rows:
+                    yield task, rows
+                task, rows = now, []
+            rows.append(row)
+    if rows:
+        yield task, rows
 
 
-def _first_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(len(a), len(b)): the first table in which two codes are at most one bit apart; -1 if none."""
-    found = np.full((len(a), len(b)), -1, np.int8)
-    per = a.shape[1] // TABLES
-    for t in range(TABLES - 1, -1, -1):
-        bits = sum(_ONES[a[:, None, t * per + i] ^ b[None, :, t * per + i]] for i in range(per))
-        found[bits <= 1] = t
-    return found
+def _sides(task: tuple, rows: list[dict]) -> tuple[list[dict], list[dict]]:
+    _, i, j = task
+    return [r for r in rows if r["own"] == i], [r for r in rows if r["own"] == j]
 
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+def _ids(rows: list[dict]) -> np.ndarray:
+    return np.array([r["vec_id"] for r in rows], np.int64)
 
 
-def _judge(visitors: list[tuple], homes: list[tuple], t: int, cosine: float) -> tuple[dict[int, int], set[tuple[int, int]]]:
-    """Links of visitors to homes of a bucket: counts by visitor, and an edge for each visitor to its least new partner."""
-    counts: dict[int, int] = {}
-    edges: set[tuple[int, int]] = set()
-    hu = np.frombuffer(b"".join(h[2] for h in homes), np.float64).reshape(len(homes), -1)
-    hc = np.frombuffer(b"".join(h[1] for h in homes), np.uint8).reshape(len(homes), -1)
-    hid, hn = np.array([h[0] for h in homes]), np.array([h[3] for h in homes])
-    for i in range(0, len(visitors), 256):
-        some = visitors[i : i + 256]
-        vu = np.frombuffer(b"".join(v[2] for v in some), np.float64).reshape(len(some), -1)
-        vc = np.frombuffer(b"".join(v[1] for v in some), np.uint8).reshape(len(some), -1)
-        vid = np.array([v[0] for v in some])
-        linked = vu @ hu.T >= cosine
-        linked &= vid[:, None] != hid[None, :]
-        if not linked.any():
+def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], ["a", "b"])
+
+
+def _near_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges between codes of a bucket at most RADIUS bits apart."""
+    for task, rows in _grouped(batches):
+        left, right = _sides(task, rows)
+        if len(rows) < 2 or not left or not right:
+            continue
+        a, b = (np.frombuffer(b"".join(r["code"] for r in side), np.uint8).reshape(len(side), -1) for side in (left, right))
+        edges = []
+        for at in range(0, len(a), 512):
+            apart = sum(_ONES[a[at : at + 512, None, k] ^ b[None, :, k]].astype(np.int16) for k in range(a.shape[1]))
+            edges += _forest(apart <= RADIUS, _ids(left[at : at + 512]), _ids(right))
+        if edges:
+            yield _edge_batch(edges)
+
+
+def _rerank(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """(vec_id, links, to): links counted in this task, or, with ``to``, an edge."""
+    for task, rows in _grouped(batches):
+        left, right = _sides(task, rows)
+        if len(rows) < 2 or not left or not right:
             continue
-        apart = sum(_ONES[vc[:, None, k] ^ hc[None, :, k]].astype(np.int16) for k in range(vc.shape[1]))
-        linked &= (apart <= RADIUS) & (_first_table(vc, hc) == t)
-        for r in np.flatnonzero(linked.any(1)):
-            to = linked[r]
-            counts[int(vid[r])] = counts.get(int(vid[r]), 0) + int(hn[to].sum())
-            edges.add((int(vid[r]), int(hid[to].min())))
-            edges.add((int(vid[r]), int(hid[to].max())))
-    return counts, edges
+        a, b = (np.frombuffer(b"".join(r["unit"] for r in side), np.float64).reshape(len(side), -1) for side in (left, right))
+        ia, ib = _ids(left), _ids(right)
+        la, lb = (np.array([r["label"] for r in side], np.int64) for side in (left, right))
+        na, nb = (np.array([r["copies"] for r in side], np.int64) for side in (left, right))
+        ca, cb, edges = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), []
+        for at in range(0, len(a), 512):
+            part = slice(at, at + 512)
+            linked = (a[part] @ b.T >= cosine) & (la[part, None] == lb[None, :]) & (ia[part, None] != ib[None, :])
+            ca[part] += linked @ nb
+            if task[1] != task[2]:
+                cb += na[part] @ linked
+            edges += _forest(linked, ia[part], ib)
+        ids, counts = (np.r_[ia, ib], np.r_[ca, cb]) if task[1] != task[2] else (ia, ca)
+        some = counts > 0
+        ids, counts = ids[some].tolist(), counts[some].tolist()
+        if ids:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids + [x for x, _ in edges], pa.int64()), pa.array(counts + [0] * len(edges), pa.int64()), pa.array([None] * len(ids) + [y for _, y in edges], pa.int64())],
+                ["vec_id", "links", "to"],
+            )
+
+
+# ---------------------------------------------------------------- the operator
+
+
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` for every row of ``vectors``.
+
+    Vectors link when their labels are equal and not null, and their cosine is at least
+    ``cosine``.  A vector that is null, zero, of another length than most or holds a null or
+    non-finite component links with nothing, as does a row with a null label or id.
+    ``n_links`` counts the other vectors linked directly, ``component_id`` is
+    the smallest id that links reach, ``kept`` whether it is the row's own.
+    Rows with equal ids are one node of the link graph and show its sum of links.
+    An empty table gives an empty table; other columns are ignored.
+    """
+    spark = vectors.sparkSession
+    scratch = Scratch(spark)
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    n = v.count()
+    chance = F.pmod(F.xxhash64("vec_id", F.lit("itq")), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 30))
+    sample = [r.vector for r in v.where(F.col("vector").isNotNull()).where(chance).select("vector").limit(2 * SAMPLE).collect()]
+    if not sample:  # a table of few rows may miss the sample
+        sample = [r.vector for r in v.where(F.col("vector").isNotNull()).select("vector").limit(100).collect()]
+    widths = [len(x) for x in sample]
+    width = max(set(widths), key=widths.count) if widths else 0
+    plain = v.select("vec_id")
+    if not width:
+        return plain.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    unit, ok = unit_rows(sample, width)
+    model, (parts, chosen) = fit_rotation(unit[ok]), tables_for(n)
+
+    facts = scratch.save(v.mapInArrow(lambda it: _facts(it, model, parts, chosen), FACTS), "facts")
+    classes = facts.groupBy("label", "digest").agg(F.min("vec_id").alias("lead"), F.count("*").alias("copies"))
+    members = scratch.save(facts.select("vec_id", "label", "digest").join(classes, ["label", "digest"]).select("vec_id", "lead", "copies"), "classes")
+    leads = scratch.save(members.where("vec_id = lead").select("vec_id", "copies").distinct(), "leads")
+    coded = facts.select("vec_id", "label", "code", F.explode("keys").alias("key")).join(leads.select("vec_id"), "vec_id", "left_semi")
+    buckets = _cuts(coded.select("vec_id", "label", "code", "key"), F.xxhash64("label", "key"), "vec_id").select("k", "i", "j", "own", "vec_id", "code")
+    near = buckets.repartition(partitions(spark), "k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(_near_codes, "a long, b long")
+    groups = scratch.save(connected_components(near, scratch, "near"), "groups")
+
+    shipped = groups.select(F.col("id").alias("vec_id"), F.col("component").alias("group")).join(leads, "vec_id").join(facts.select("vec_id", "label", "unit"), "vec_id")
+    tasks = _cuts(shipped, F.col("group"), "vec_id").select("k", "i", "j", "own", "vec_id", "label", "copies", "unit")
+    found = tasks.repartition(partitions(spark), "k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(lambda it: _rerank(it, cosine), "vec_id long, links long, to long")
+    found = scratch.save(found, "found")
+    counts = found.where("to is null").groupBy("vec_id").agg(F.sum("links").alias("links"))
+    copies = members.where("vec_id <> lead").select(F.col("vec_id").alias("a"), F.col("lead").alias("b"))
+    linked = connected_components(found.where("to is not null").select(F.col("vec_id").alias("a"), F.col("to").alias("b")).union(copies), scratch, "links")
+    totals = members.join(counts.withColumnRenamed("vec_id", "lead"), "lead", "left").groupBy("vec_id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    out = plain.join(totals, "vec_id", "left").join(linked.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    component = F.coalesce("component", "vec_id")
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -200,3 +200,20 @@ def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, kind)], ["doc_id", "lang_pred", "score", "languages"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PREDICTIONS)
+
+
+def keep_determined(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", least: float = 0.4) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, in which one language has at least the share ``least``; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordLikelihoods(shared.value)
+        for batch in batches:
+            keep = []
+            for t in batch.column(at):
+                loglik, counts = words.table(t.as_py() or "") if words.model.languages else (None, ())
+                keep.append(bool(len(counts)) and languages_of(loglik, counts)[0][1] >= least)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -36,6 +36,12 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls, rules_frame
 
@@ -91,6 +97,12 @@ def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(table(spark, sf_dir, "documents"), language_model(spark, sf_dir)).select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .itq_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight 1 for documents labelled good, 1/4 for others; ``mix_sources`` gives unlabelled ones 1."""
     return table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 0, 0.25).otherwise(1.0).alias("w"))

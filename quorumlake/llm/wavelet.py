@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import struct
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -65,7 +66,7 @@ def build(ids: np.ndarray, doc_ids: Iterable[int], starts: Iterable[int]) -> byt
         before = np.r_[0, np.cumsum(counts)[:-1]] if chunks else np.empty(0)
         tables.append(struct.pack("<Q", n - int(counts.sum())) + before.astype("<u8").tobytes() + offsets.astype("<u8").tobytes())
         bodies += body
-        values = np.concatenate([values[~ones], values[ones]])
+        values = np.concatenate([values.take(np.flatnonzero(~ones)), values.take(np.flatnonzero(ones))])
     return b"".join([_HEADER.pack(MAGIC, planes, CHUNK_BITS, n, len(doc_ids), len(symbols)), symbols.astype("<u8").tobytes(), doc_ids.tobytes(), starts.tobytes(), *tables, *bodies])
 
 
@@ -187,8 +188,8 @@ class WaveletShard:
             raw = b"".join(unpack(self.data[a:b], max_output_size=self.chunk_bits // 8) for a, b in zip(at[:-1], at[1:], strict=True))
             ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).view(bool)
             upper, z = np.empty_like(values), self.zeros[plane]
-            upper[~ones] = values[:z]
-            upper[ones] = values[z:] | values.dtype.type(1 << (self.planes - 1 - plane))
+            upper[np.flatnonzero(~ones)] = values[:z]
+            upper[np.flatnonzero(ones)] = values[z:] | values.dtype.type(1 << (self.planes - 1 - plane))
             values = upper
         return self.symbols[values].astype(np.uint32) if self.n else values.astype(np.uint32)
 
@@ -199,6 +200,11 @@ _PLAIN = bytes(32 if 9 <= i <= 13 else i + 32 if 65 <= i <= 90 else i for i in r
 _KINDS = bytes(ord("a" if chr(i).isalnum() and i < 128 else " " if i == 32 else "p" if chr(i) in ".," else "q") for i in range(256))
 
 
+# How byte-level vocabularies spell bytes. Printable ones stand for themselves, the others follow from U+0100.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: b if b in _PRINTABLE else 0x100 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
+
+
 class WordEncoder(dict):
     """Ids (little-endian u16) of a run of text without ASCII white space, by the tokenizers
     library; runs seen lately are kept, up to a bound.
@@ -216,13 +222,20 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.older = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("a vocabulary of at most 65,536 ids is needed")
 
     def __missing__(self, run: bytes) -> bytes:
         value = self.older.get(run)
         if value is None:
-            value = array("H", self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+            word = run.decode("utf-8", "replace")
+            if word.isalpha() and word.lower() == word and unicodedata.is_normalized("NFC", word):
+                # one piece that the normalizer leaves alone: straight to the library's BPE, as its byte-level step spells it
+                ids = [t.id for t in self.model.tokenize(run.decode("latin-1").translate(_BYTE_CHARS))]
+            else:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            value = array("H", ids).tobytes()
         self[run] = value
         return value
 

@@ -45,8 +45,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: ``doc_id, n_tokens, ids`` (little-endian 32-bit), with hashes of the ids and of what they decode to."""
-    path = queries.tokenizer_path("byte_bpe_50k.tiktoken")
-    return bpe_fst.decode_digest(bpe_fst.encode_documents(docs, path, public_tokenizers.PATTERN), path, with_ids=True)
+    return bpe_fst.round_trip(docs, queries.tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES = [

@@ -288,19 +288,38 @@ def _decoder(path: str) -> ByteDecoder:
     return ByteDecoder({i: t for t, i in load_ranks(path).items()})
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    encoder = _encoder(path, pattern)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoder.encode(t.as_py()) for t in batch.column(1)], pa.binary())], ["doc_id", "ids"])
+
+
+def _digested(batches: Iterator[pa.RecordBatch], path: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    decoder = _decoder(path)
+    for batch in batches:
+        n, of_ids, of_bytes, valid = [], [], [], []
+        for x in batch.column(1):
+            raw = x.as_py() or b""
+            data, ok = decoder.decode(np.frombuffer(raw, "<u4"))
+            n.append(len(raw) // 4)
+            of_ids.append(hashlib.sha256(raw).hexdigest())
+            of_bytes.append(hashlib.sha256(data).hexdigest())
+            valid.append(ok)
+        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string()), pa.array(valid, pa.bool_()), batch.column(1)]
+        yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids``: the ids of each whole text as little-endian 32-bit integers.
 
     A null or empty text has no ids.  Equal ids stay separate rows; an empty table gives an
     empty table.  There is no shuffle: one pass over the texts, one text in memory at a time beside its batch.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks_path, pattern)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoder.encode(t.as_py()) for t in batch.column(1)], pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return _texts(docs, id_col, text_col).mapInArrow(lambda it: _encoded(it, ranks_path, pattern), "doc_id long, ids binary")
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean"
@@ -309,21 +328,15 @@ DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string,
 def decode_digest(encoded: DataFrame, ranks_path: str, *, with_ids: bool = False) -> DataFrame:
     """From ``doc_id, ids``: counts and hashes of the ids and of the bytes they decode to; null ids count as none."""
     schema = DIGEST + ", ids binary" * with_ids
+    names = [x.split()[0] for x in schema.split(", ")]
+    return encoded.select("doc_id", "ids").mapInArrow(lambda it: _digested(it, ranks_path, names), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _decoder(ranks_path)
-        for batch in batches:
-            n, of_ids, of_bytes, valid = [], [], [], []
-            for x in batch.column(1):
-                raw = x.as_py() or b""
-                data, ok = decoder.decode(np.frombuffer(raw, "<u4"))
-                n.append(len(raw) // 4)
-                of_ids.append(hashlib.sha256(raw).hexdigest())
-                of_bytes.append(hashlib.sha256(data).hexdigest())
-                valid.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string()), pa.array(valid, pa.bool_()), *batch.columns[1 : 1 + with_ids]], [x.split()[0] for x in schema.split(", ")])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, schema)
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """``decode_digest`` of ``encode_documents`` in one pass, so that ids don't travel between two workers."""
+    schema = DIGEST + ", ids binary" * with_ids
+    names = [x.split()[0] for x in schema.split(", ")]
+    return _texts(docs, id_col, text_col).mapInArrow(lambda it: _digested(_encoded(it, ranks_path, pattern), ranks_path, names), schema)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:

@@ -79,10 +79,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .bpe_fst import decode_digest, encode_documents
+    from .bpe_fst import round_trip
 
-    path = tokenizer_path("byte_bpe_50k.tiktoken")
-    return decode_digest(encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path).drop("valid_utf8")
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("valid_utf8")
 
 
 def language_model(spark: SparkSession, sf_dir: str):

@@ -68,6 +68,8 @@ def test_documents(spark):
     got = b.decode_digest(encoded, PATH, with_ids=True).collect()
     assert sorted((str(r.doc_id), r.decoded_sha256) for r in got) == sorted((str(i), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
     assert all(r.n_tokens * 4 == len(r.ids) and r.valid_utf8 for r in got)
+    fused = b.round_trip(df, PATH, public_tokenizers.PATTERN, with_ids=True)
+    assert sorted(map(str, fused.collect())) == sorted(map(str, got))
     back = b.decode_documents(encoded, PATH).collect()
     assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(i), t or "") for i, t in rows)
     assert b.encode_documents(df.limit(0), PATH, public_tokenizers.PATTERN).collect() == []

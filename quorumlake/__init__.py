@@ -1,0 +1 @@
+"""Search and analysis of council records on Spark."""

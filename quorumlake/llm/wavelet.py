@@ -51,7 +51,7 @@ def build(ids: np.ndarray, doc_ids: Iterable[int], starts: Iterable[int]) -> byt
     planes = max(1, int(len(symbols) - 1).bit_length()) if len(symbols) else 1
     number = np.zeros(len(often), np.uint16 if planes <= 16 else np.uint32)
     number[symbols] = np.arange(len(symbols))
-    values = number[ids]
+    values = number.take(ids)
     n, step = len(values), CHUNK_BITS // 8
     chunks = -(-n // CHUNK_BITS)
     pack = zstandard.ZstdCompressor(level=1).compress
@@ -87,7 +87,6 @@ class WaveletShard:
             return found
 
         self.symbols = column("<u8", n_symbols).astype(np.int64)
-        self.number = {int(t): i for i, t in enumerate(self.symbols)}
         self.doc_ids = column("<i8", self.n_docs)
         self.starts = column("<u8", self.n_docs + 1).astype(np.int64)
         chunks = -(-self.n // self.chunk_bits)
@@ -99,6 +98,10 @@ class WaveletShard:
         self.body = at
         self._chunk = functools.lru_cache(256)(self._read_chunk)
 
+    @functools.cached_property
+    def number(self) -> dict[int, int]:
+        return {int(t): i for i, t in enumerate(self.symbols)}
+
     def _read_chunk(self, plane: int, chunk: int) -> tuple[np.ndarray, np.ndarray]:
         """The chunk's bytes, and the ones before each of them."""
         a, b = (self.body + int(self.offsets[plane][chunk + i]) for i in (0, 1))
@@ -191,7 +194,7 @@ class WaveletShard:
             upper[np.flatnonzero(~ones)] = values[:z]
             upper[np.flatnonzero(ones)] = values[z:] | values.dtype.type(1 << (self.planes - 1 - plane))
             values = upper
-        return self.symbols[values].astype(np.uint32) if self.n else values.astype(np.uint32)
+        return self.symbols.astype(np.uint32)[values] if self.n else values.astype(np.uint32)
 
 
 #: A-Z in lower case, white space as spaces.
@@ -239,11 +242,12 @@ class WordEncoder(dict):
         self[run] = value
         return value
 
-    def encode(self, text: str | None) -> np.ndarray:
+    def encode(self, text: str | bytes | None) -> np.ndarray:
+        """Ids of a text, given as a string or as UTF-8."""
         if len(self) > self.LIMIT:
             self.older = dict(self)
             self.clear()
-        runs = (text or "").encode("utf-8", "replace")
+        runs = text.encode("utf-8", "replace") if isinstance(text, str) else text or b""
         if b"<|" not in runs and b"\xcc" not in runs:  # special tokens and combining marks are told apart by case
             runs = runs.translate(_PLAIN) + b" "
             kinds = runs.translate(_KINDS)
@@ -252,8 +256,14 @@ class WordEncoder(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, runs.split())), "<u2")
 
 
+@functools.cache
+def _encoder(path: str) -> WordEncoder:
+    """One for each worker, so that later tasks find the runs of earlier ones."""
+    return WordEncoder(path)
+
+
 def _write_shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, parts, docs, starts, total, shard, part = WordEncoder(path), [], [], [0], 0, 0, None
+    encoder, parts, docs, starts, total, shard, part = _encoder(path), [], [], [0], 0, 0, None
     end = np.array([end_id], "<u2")
 
     def flush() -> pa.RecordBatch:
@@ -289,7 +299,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, scratch: Scratch, *, id_c
     An empty table gives no files.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    d = d.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    d = d.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"), F.spark_partition_id().alias("part"))
     return scratch.save(d.mapInArrow(lambda it: _write_shards(it, tokenizer_path, end_id), "part int, shard int, n_tokens long, n_docs long, file binary"), name)
 
 

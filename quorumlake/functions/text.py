@@ -251,7 +251,7 @@ def xml_escape(c: Column) -> Column:
 
 def ics_escape(c: Column) -> Column:
     c = F.coalesce(c, F.lit(""))
-    for a, b in (("\\", "\\\\"), (";", "\;"), (",", "\\,"), ("\n", "\\n")):
+    for a, b in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\n", "\\n")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 

@@ -26,7 +26,8 @@ def name_or_id(name: Column, id_: Column, value: str | None) -> Column | None:
 
 
 def dates(c: Column, start, end) -> list[Column]:
-    return [x for x in ((c >= F.lit(start)) if start else None, (c <= F.lit(end)) if end else None) if x is not None]
+    given = lambda x: isinstance(x, Column) or bool(x)
+    return [*([c >= F.lit(start)] if given(start) else []), *([c <= F.lit(end)] if given(end) else [])]
 
 
 def flag(c: Column, value: bool | None) -> Column | None:

@@ -72,7 +72,7 @@ def lifecycle(links: DataFrame, files: DataFrame, meetings: DataFrame, agenda: D
 
 def proposal_title(links: DataFrame, files: DataFrame) -> DataFrame:
     """(vorlage, title): label of the proposal's own document of the best rank, the earliest id of equal ones."""
-    own = links.where("own").join(files.withColumnRenamed("id", "file_id"), "file_id")
+    own = links.where("own").join(files.select(F.col("id").alias("file_id"), "label", "doc_type"), "file_id")
     return own.groupBy("vorlage").agg(F.min_by("label", F.struct(title_rank(F.col("doc_type")), F.col("file_id"))).alias("title"))
 
 

@@ -86,7 +86,7 @@ def read_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(id, fulltext) of ``<number>.txt`` files; ids without leading zeros, as the dump names them."""
-    t = spark.read.option("wholetext", True).text(path)
+    t = spark.read.text(path, wholetext=True)
     return t.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.txt$", 1).try_cast("long").alias("number"), F.col("value").alias("fulltext")).where("number is not null")
 
 

@@ -7,7 +7,7 @@ index is written partitioned by the first two letters of the term, so a prefix r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Letters whose diacritics are folded away.
@@ -51,6 +51,10 @@ def write_index(posted: DataFrame, path: str) -> None:
     posted.withColumn("prefix", F.substring("term", 1, 2)).repartition("prefix", F.pmod(F.xxhash64("doc"), F.lit(8))).sortWithinPartitions("term", "doc").write.mode("overwrite").partitionBy("prefix").parquet(path)
 
 
+def read_index(spark: SparkSession, path: str, id_type: str = "string") -> DataFrame:
+    return spark.read.schema(f"doc {id_type}, col int, pos int, term string, prefix string").parquet(path)
+
+
 def query_phrases(query: str) -> list[list[str]]:
     """Phrases of folded words, as the index spells them."""
     import re
@@ -67,6 +71,11 @@ def phrase_hits(posted: DataFrame, phrase: list[str]) -> DataFrame:
     """(doc, hits): occurrences of a phrase inside one column; its last word is a prefix."""
     *whole, last = phrase
     ends = F.startswith(F.col("term"), F.lit(last))
+    if "prefix" in posted.columns:  # a written index: only the folders of these words are read
+        folders = F.startswith(F.col("prefix"), F.lit(last[:2]))
+        for w in whole:
+            folders = folders | (F.col("prefix") == w[:2])
+        posted = posted.where(folders)
     if not whole:
         return posted.where(ends).groupBy("doc").agg(F.count("*").alias("hits"))
     # every word votes for the place where the phrase would start

@@ -64,7 +64,7 @@ class Store:
         order = [F.col("meeting_date").desc(), F.col("id").desc()]
         if query:
             if index:
-                posted, sizes = self.spark.read.parquet(f"{index}/postings"), self.spark.read.parquet(f"{index}/lengths")
+                posted, sizes = fts.read_index(self.spark, f"{index}/postings"), self.spark.read.parquet(f"{index}/lengths")
             else:
                 text = self.searchable()
                 posted, sizes = fts.postings(text, "id", SEARCHED), fts.lengths(text, "id", SEARCHED)

@@ -15,11 +15,16 @@ Conventions kept by every operator here:
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +63,15 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps now: it does so once nothing refers to
+        them any more, which collectors would find out much later."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str = "") -> None:
         path = f"{self.root}/{name}".rstrip("/")
         jvm = self.spark.sparkContext._jvm
@@ -87,7 +101,7 @@ def id_crc(name: str) -> Column:
 class WordHashes(dict):
     """64-bit hash of a word (bytes), kept for words seen before; bounded."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -104,6 +118,22 @@ def ascii_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, where a step holds several times a batch's size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns a worker's freed memory to the machine: the worker waits for its next task, and an
+    executor's other processes need the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x ^ (x >> np.uint64(33))

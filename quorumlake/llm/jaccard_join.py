@@ -6,12 +6,14 @@ documents link when ``100 * |r & s| >= percent * |r | s|``, |r & s| > 0.
 1. *Blocking, exact.*  |r| <= |s| that link differ in at most
    ``H = (100 - percent) * (|r| + |s|) / (100 + percent)`` elements.  Deal all
    elements by hash into ``k = H + 1 + spare`` parts: at least ``1 + spare`` parts
-   are equal in both.  Parts of under two elements are weak; a document with at
+   are equal in both.  Parts of under two elements (under one, where two would ask for
+   too many parts) are weak; a document with at
    most ``spare`` weak parts sends a signature for each strong part only, since
    one equal part must then be strong; any other document sends all its parts.
    ``k`` and ``spare`` follow from a band of set sizes alone, and a document also
    sends signatures for the next band if a partner may be there, so no link is
-   lost.  Equal signatures make blocks; blocks that share documents are merged.
+   lost.  Shingles that very many documents share are left out of the parts, which keeps
+   unlike documents with a common passage apart.  Equal signatures make blocks; blocks that share documents are merged.
 2. *T-occurrence search.*  Inside a merged block an inverted list per shingle
    names the documents holding it.  A query needs ``T = ceil(percent * |r| / 100)``
    occurrences at least.  DivideSkip sets the L longest lists aside, merges
@@ -20,7 +22,8 @@ documents link when ``100 * |r & s| >= percent * |r | s|``, |r & s| > 0.
    and union decide.
 3. Queries run only for documents that no search has yet put in the component of
    the block's leader: a component needs no second proof.  Blocks of more than
-   ``BLOCK`` set elements are cut, and such queries go to every cut in turn.
+   ``BLOCK`` set elements are blocked anew by what is hot among their documents; those
+   still too large are cut, and such queries go to every cut in turn.
 
 Copies with equal sets are one class; a class is searched once.
 """
@@ -37,14 +40,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, ascii_words, mix64, partitions, shingle_hashes
+from .common import Scratch, WordHashes, ascii_words, give_back, mix64, partitions, shingle_hashes, slices
 from .graph import connected_components
 
 #: Set elements that one search holds at once.
-BLOCK = 1_000_000
-#: Ratio of neighbouring bands of set sizes.
-BAND = 1.5
-STRONG = 2
+BLOCK = 2_000_000
+#: Ratio of neighbouring bands of set sizes and how many deviations of weak parts are spared: narrow bands ask for more
+#: signatures, but can do with parts of two elements, which unlike documents hardly share.
+WIDE, NARROW = (1.5, 5.0), (1.1, 2.5)
 
 
 # ---------------------------------------------------------------- sets and parts
@@ -55,53 +58,73 @@ def shingle_set(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(shingle_hashes(hashes.of(ascii_words(text)), k))
 
 
-def band_of(n: int) -> int:
-    return int(math.log(n) / math.log(BAND) + 1e-9)
+def band_of(n: int, ratio: float) -> int:
+    return int(math.log(n) / math.log(ratio) + 1e-9)
 
 
-def scheme(band: int, percent: int) -> tuple[int, int]:
-    """(parts, spare) of a band: enough parts that ``1 + spare`` are equal in any linked pair
-    whose larger set lies in the band."""
-    lo, hi = max(1, math.floor(BAND**band)), math.floor(BAND ** (band + 1)) + 1
+def scheme(band: int, percent: int, bands: tuple[float, float] = WIDE) -> tuple[int, int, int]:
+    """(parts, spare, strong) of a band: enough parts that ``1 + spare`` are equal in any linked pair
+    whose larger set lies in the band; parts of ``strong`` elements or more aren't weak."""
+    ratio, deviations = bands
+    lo, hi = max(1, math.floor(ratio**band)), math.floor(ratio ** (band + 1)) + 1
     differ = (100 - percent) * 2 * hi // (100 + percent)
-    spare = 0
-    for _ in range(40):
-        k = differ + 1 + spare
-        mean = lo / k
-        weak = k * math.exp(-mean) * (1 + mean)
-        wanted = math.ceil(weak + 5 * math.sqrt(weak) + 1)
-        if wanted <= spare or spare > 3 * (differ + 1):
+    for strong in (2, 1):
+        spare = 0
+        for _ in range(40):
+            k = differ + 1 + spare
+            mean = lo / k
+            weak = k * math.exp(-mean) * (1 + mean if strong == 2 else 1)
+            wanted = math.ceil(weak + deviations * math.sqrt(weak) + 1)
+            if wanted <= spare or spare > differ + 1:
+                break
+            spare = wanted
+        if spare <= differ + 1:  # else parts would be so small that most are weak
             break
-        spare = wanted
-    return differ + 1 + spare, spare
+    return differ + 1 + spare, spare, strong
+
 
+def signatures(values: np.ndarray, percent: int, schemes: dict[int, tuple[int, int, int]], hot: np.ndarray, bands: tuple[float, float] = WIDE) -> np.ndarray:
+    """Signatures of a set under its own band's scheme and, if a partner may be there, the next's.
 
-def signatures(values: np.ndarray, percent: int, schemes: dict[int, tuple[int, int]]) -> np.ndarray:
-    """Signatures of a set under its own band's scheme and, if a partner may be there, the next's."""
+    Parts are made of the elements that aren't hot: taking the same elements out of two sets brings them
+    no further apart.  A set with too many weak parts sends those of all its elements as well;
+    if those are weak too, the weak and empty ones also.
+    """
     n = len(values)
-    own = band_of(n)
-    out = []
-    for band in range(own, band_of(max(n, n * 100 // percent + 1)) + 1):
+    own, out = band_of(n, bands[0]), []
+    bare = values[~found_in(hot, values)]
+    for band in range(own, band_of(max(n, n * 100 // percent + 1), bands[0]) + 1):
         if band not in schemes:
-            schemes[band] = scheme(band, percent)
-        parts, spare = schemes[band]
-        scattered = mix64(values)
-        part = (scattered >> np.uint64(32)).astype(np.int64) * parts >> 32
-        order = np.argsort(part, kind="stable")  # the set's order stays within each part
-        counts = np.bincount(part, minlength=parts)
-        which = np.flatnonzero(counts)
-        # sums of scrambled elements name a part's content; the part and band are mixed in
-        sums = np.add.reduceat(mix64(scattered[order] + np.uint64(band + 1)), np.r_[0, np.cumsum(counts[which])[:-1]])
-        if (counts < STRONG).sum() <= spare:
-            strong = counts[which] >= STRONG
-            which, sums = which[strong], sums[strong]
-        else:
-            empty = np.flatnonzero(counts == 0)
-            which, sums = np.r_[which, empty], np.r_[sums, np.zeros(len(empty), np.uint64)]
-        out.append(mix64(mix64(sums + which.astype(np.uint64)) + np.uint64(0x1F123BB5) * np.uint64(band + 1)))
+            schemes[band] = scheme(band, percent, bands)
+        parts, spare, least = schemes[band]
+        for tag, elements in ((0, bare), (1, values)):
+            scattered = mix64(elements)
+            part = (scattered >> np.uint64(32)).astype(np.int64) * parts >> 32
+            order = np.argsort(part, kind="stable")
+            counts = np.bincount(part, minlength=parts)
+            which = np.flatnonzero(counts)
+            # sums of scrambled elements name a part's content; part, band and tag are mixed in
+            sums = np.add.reduceat(mix64(scattered[order] + np.uint64(2 * band + tag + 1)), np.r_[0, np.cumsum(counts[which])[:-1]]) if len(which) else np.empty(0, np.uint64)
+            enough = (counts < least).sum() <= spare
+            if enough or not tag:
+                strong = counts[which] >= least
+                which, sums = which[strong], sums[strong]
+            else:
+                empty = np.flatnonzero(counts == 0)
+                which, sums = np.r_[which, empty], np.r_[sums, np.zeros(len(empty), np.uint64)]
+            out.append(mix64(mix64(sums + which.astype(np.uint64)) + np.uint64(0x1F123BB5) * np.uint64(2 * band + tag + 1)))
+            if enough:
+                break
     return np.concatenate(out)
 
 
+def found_in(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
+    return sorted_values[at] == values
+
+
 # ---------------------------------------------------------------- T-occurrence
 
 
@@ -223,14 +246,52 @@ def block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
 FACTS = "doc_id long, n_shingles long, digest binary, sigs array<long>, near array<long>"
 
 
-def _facts(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+#: A shingle is hot if it is in this share of the documents, and in this many, at least.
+HOT_SHARE, HOT_LEAST = 0.001, 50
+#: How often blocks too large for one search are blocked anew, by what is hot among their documents.
+REFINE, REFINE_LEAST = 3, 8
+
+
+def _sets_of(column: pa.Array, k: int, hashes: WordHashes) -> list[np.ndarray]:
+    """Sets of a column of texts, or of sets packed before."""
+    if pa.types.is_binary(column.type):
+        return [np.frombuffer(x.as_py(), np.uint64) for x in column]
+    return [shingle_set(t.as_py(), k, hashes) for t in column]
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(shingle, n) of each batch's frequent shingles, and its number of documents under null."""
+    hashes = WordHashes()
+    for batch in slices(batches):
+        sets = _sets_of(batch.column(1), k, hashes)
+        values, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        often = n >= max(3, HOT_SHARE * len(sets))
+        yield pa.RecordBatch.from_arrays([pa.array([None, *values[often].view(np.int64).tolist()], pa.int64()), pa.array([len(sets), *n[often].tolist()], pa.int64())], ["shingle", "n"])
+
+
+def hot_shingles(docs: DataFrame, k: int, scratch: Scratch, least: int) -> np.ndarray:
+    """Sorted hashes of the hot shingles; at most the mean set size over ``HOT_SHARE``, however many documents.
+
+    Results don't depend on it, only how many documents share blocks.
+    """
+    counts = docs.mapInArrow(lambda it: _frequent(it, k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = scratch.save(counts.where(F.col("shingle").isNull() | (F.col("n") >= least)), "frequent")
+    total = sum(r.n for r in counts.where("shingle is null").collect())
+    found = [r.shingle for r in counts.where(F.col("shingle").isNotNull() & (F.col("n") >= total * HOT_SHARE)).select("shingle").collect()]
+    scratch.drop("frequent")
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+FACTS = "doc_id long, n_shingles long, digest binary, sigs array<long>, near array<long>"
+
+
+def _facts(batches: Iterator[pa.RecordBatch], k: int, percent: int, hot: np.ndarray, bands: tuple[float, float]) -> Iterator[pa.RecordBatch]:
     """Per document its set size and digest; once for equal sets of a batch, its signatures;
     of documents of a batch with equal signatures only the first sends them, the others name it in ``near``."""
     hashes, schemes = WordHashes(), {}
-    for batch in batches:
+    for batch in slices(batches):
         ids, sizes, digests, sigs, seen = batch.column(0).to_pylist(), [], [], [], set()
-        for i, text in zip(ids, batch.column(1), strict=True):
-            values = shingle_set(text.as_py(), k, hashes)
+        for i, values in zip(ids, _sets_of(batch.column(1), k, hashes), strict=True):
             digest = xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None
             sizes.append(len(values))
             digests.append(digest)
@@ -238,14 +299,14 @@ def _facts(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[
                 sigs.append(np.empty(0, np.uint64))
             else:
                 seen.add(digest)
-                sigs.append(signatures(values, percent, schemes))
+                sigs.append(signatures(values, percent, schemes, hot, bands))
         lengths = np.array([len(x) for x in sigs], np.int64)
         every = np.concatenate(sigs) if sigs else np.empty(0, np.uint64)
         owner = np.repeat(np.arange(len(sigs)), lengths)
         _, at, group = np.unique(every, return_index=True, return_inverse=True)
         lead = owner[at][group]
         sent = lead == owner
-        pairs = np.unique(np.stack([owner[~sent], lead[~sent]], 1), axis=0)
+        pairs = spanning(np.stack([owner[~sent], lead[~sent]], 1))
         known = np.array([-1 if i is None else i for i in ids], np.int64)
         offsets = lambda who: pa.array(np.r_[0, np.cumsum(np.bincount(who, minlength=len(ids)))], pa.int32())
         kept = pa.ListArray.from_arrays(offsets(owner[sent]), pa.array(every[sent].view(np.int64)))
@@ -253,9 +314,39 @@ def _facts(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), kept, near], ["doc_id", "n_shingles", "digest", "sigs", "near"])
 
 
+def spanning(pairs: np.ndarray) -> np.ndarray:
+    """Of the pairs, as many as span the components they make; sorted by the first end."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    kept = []
+    for a, b in np.unique(pairs, axis=0).tolist():
+        x, y = root(a), root(b)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            kept.append((a, b))
+    return np.array(kept, np.int64).reshape(-1, 2)
+
+
+#: Edges after which a task's spanning edges are handed on.
+EDGES = 200_000
+
+
 def _star_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, doc_id), sorted: an edge from each document to the first one of its signature."""
-    sig, first = None, None
+    """Rows (sig, doc_id), sorted: edges from documents to the first one of their signature, reduced to
+    those that span the components seen by the task."""
+    sig, first, held, n = None, None, [], 0
+
+    def reduced() -> pa.RecordBatch:
+        nonlocal held, n
+        held = [spanning(np.concatenate(held))]
+        n = len(held[0])
+        return pa.RecordBatch.from_arrays([pa.array(held[0][:, 0]), pa.array(held[0][:, 1])], ["a", "b"])
+
     for batch in batches:
         s = batch.column(0).to_numpy(zero_copy_only=False)
         d = batch.column(1).to_numpy(zero_copy_only=False)
@@ -267,8 +358,17 @@ def _star_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, first = s[-1], lead[-1]
         keep = lead != d
         if keep.any():
-            pairs = np.unique(np.stack([d[keep], lead[keep]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            held.append(np.stack([d[keep], lead[keep]], 1))
+            n += int(keep.sum())
+            if n > EDGES:
+                out = reduced()
+                if n > EDGES // 2:  # little left to reduce
+                    yield out
+                    held, n = [], 0
+    if held:
+        yield reduced()
+    held = []
+    give_back()
 
 
 def _search_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -291,6 +391,8 @@ def _search_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
             packed.append(x.as_py())
     if (out := done(ids, packed)) is not None:
         yield out
+    ids, packed = [], []
+    give_back()
 
 
 def _edges(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -335,40 +437,72 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sent = scratch.save(texts.mapInArrow(lambda it: _facts(it, k, percent), FACTS), "sent")
-    facts = scratch.save(sent.select("doc_id", "n_shingles", "digest"), "facts")
+    blocks = _blocks(texts, scratch, k, percent, HOT_LEAST, WIDE, "0", keep="facts")
+    facts = scratch.read("facts", "doc_id long, n_shingles long, digest binary")
+    known = facts.where("digest is not null and doc_id is not null")
+
+    # blocks small enough are searched whole, by one task each; others are blocked anew
+    sized = blocks.join(known.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), blocks["id"] == F.col("doc_id")).select(F.col("component").alias("block"), "doc_id", "n")
+    placed = _sized(sized).join(texts, "doc_id").select("block", "doc_id", "elements", "leader", "text")
+    sets = scratch.save(placed.mapInArrow(lambda it: _with_sets(it, k), SETS), "sets-0")
+    scratch.release()
+    small, large, held = [sets.where(F.col("elements") <= BLOCK)], sets.where(F.col("elements") > BLOCK), None
+    for i in range(1, REFINE + 1):
+        now = large.count()
+        if not now or now == held:
+            break
+        held = now
+        members = large.select("doc_id", "packed")
+        blocks = _blocks(members, scratch, k, percent, REFINE_LEAST, NARROW, str(i))
+        sized = _sized(blocks.select(F.col("component").alias("block"), F.col("id").alias("doc_id")).join(members.select("doc_id", (F.length("packed") / 8).cast("long").alias("n")), "doc_id"))
+        sets = scratch.save(sized.select("block", "doc_id", "elements", "leader").join(members, "doc_id").select("block", "doc_id", "elements", "leader", "packed"), f"sets-{i}")
+        scratch.release()
+        small.append(sets.where(F.col("elements") <= BLOCK))
+        large = sets.where(F.col("elements") > BLOCK)
 
     # copies: the smallest id of each digest stands for its class
-    known = facts.where("digest is not null and doc_id is not null")
     first = known.groupBy("digest").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    copies = known.join(first, "digest").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+    edges = known.join(first, "digest").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+    for part in small:
+        rows = part.select("block", "doc_id", "packed").repartition(partitions(spark), "block").sortWithinPartitions("block", "doc_id")
+        edges = edges.union(rows.mapInArrow(lambda it: _search_blocks(it, percent), "a long, b long"))
+    if not large.isEmpty():
+        edges = edges.union(_large_blocks(large, scratch, percent))
+    found = connected_components(edges, scratch, "links")
+    for i in range(REFINE + 1):
+        scratch.drop(f"sets-{i}")
+    return facts.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
-    # blocks of documents that share a signature, merged
+
+def _blocks(docs: DataFrame, scratch: Scratch, k: int, percent: int, least: int, bands: tuple[float, float], tag: str, keep: str | None = None) -> DataFrame:
+    """``id, component`` of the documents (doc_id, text or packed set) that share signatures.
+
+    ``keep`` names a table of their facts that is to stay.
+    """
+    spark = docs.sparkSession
+    hot = spark.sparkContext.broadcast(hot_shingles(docs, k, scratch, least))
+    sent = scratch.save(docs.mapInArrow(lambda it: _facts(it, k, percent, hot.value, bands), FACTS), f"sent-{tag}")
+    if keep:
+        scratch.save(sent.select("doc_id", "n_shingles", "digest"), keep)
     rows = sent.select(F.explode("sigs").alias("sig"), "doc_id")
     stars = rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "doc_id").mapInArrow(_star_edges, "a long, b long")
     near = sent.select(F.col("doc_id").alias("a"), F.explode("near").alias("b"))
-    blocks = scratch.save(connected_components(stars.union(near), scratch, "blocks"), "members")
-    scratch.drop("sent")
+    blocks = scratch.save(connected_components(stars.union(near), scratch, f"blocks-{tag}"), f"members-{tag}")
+    scratch.drop(f"sent-{tag}")
+    return blocks
 
-    # small blocks: one task holds a whole block at a time; large ones are cut
-    sized = blocks.join(known.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), blocks["id"] == F.col("doc_id")).select(F.col("component").alias("block"), "doc_id", "n")
-    sized = sized.join(sized.groupBy("block").agg(F.sum("n").alias("elements"), F.min("doc_id").alias("leader")), "block")
-    placed = sized.join(texts, "doc_id").select("block", "doc_id", "elements", "leader", "text")
-    sets = scratch.save(placed.mapInArrow(lambda it: _with_sets(it, k), "block long, doc_id long, elements long, leader long, packed binary"), "sets")
-    small = sets.where(F.col("elements") <= BLOCK).select("block", "doc_id", "packed")
-    links = small.repartition(partitions(spark), "block").sortWithinPartitions("block", "doc_id").mapInArrow(lambda it: _search_blocks(it, percent), "a long, b long")
-    edges = links.union(copies)
-    large = sets.where(F.col("elements") > BLOCK)
-    if not large.isEmpty():
-        edges = edges.union(_large_blocks(large, scratch, percent))
-    found = connected_components(edges, scratch, "links")
-    scratch.drop("sets")
-    return facts.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+def _sized(placed: DataFrame) -> DataFrame:
+    """``block, doc_id, n`` with the elements of each block and its least document."""
+    return placed.join(placed.groupBy("block").agg(F.sum("n").alias("elements"), F.min("doc_id").alias("leader")), "block")
+
+
+SETS = "block long, doc_id long, elements long, leader long, packed binary"
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in slices(batches):
         packed = [shingle_set(t.as_py(), k, hashes).tobytes() for t in batch.column(4)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(packed, pa.binary())], ["block", "doc_id", "elements", "leader", "packed"])
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import give_back, mix64
 
 BUCKETS = 1 << 15
 #: Training texts of each language are sampled by hash to about this many; the only bound of the fit.
@@ -93,7 +93,7 @@ def fit(training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 class WordLikelihoods(dict):
     """Row of a word in a table of log-likelihoods by language; -1 for words without letters."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __init__(self, model: LanguageModel):
         super().__init__()
@@ -215,5 +215,7 @@ def keep_determined(docs: DataFrame, model: LanguageModel, *, text_col: str = "t
                 loglik, counts = words.table(t.as_py() or "") if words.model.languages else (None, ())
                 keep.append(bool(len(counts)) and languages_of(loglik, counts)[0][1] >= least)
             yield batch.filter(pa.array(keep, pa.bool_()))
+        del words
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

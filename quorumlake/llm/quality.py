@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import give_back, mix64
 
 BITS = 18
 #: Labelled texts are sampled by hash to about this many; the only bound of the fit.
@@ -44,7 +44,7 @@ def shape(word: str) -> str:
 class WordTable(dict):
     """Number of a word; arrays by number hold the hashes of the word and its shape."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __init__(self):
         super().__init__()
@@ -183,5 +183,7 @@ def keep_good(docs: DataFrame, model: QualityModel, *, text_col: str = "text", t
         model, table = shared.value, WordTable()
         for batch in batches:
             yield batch.filter(pa.array([model.score(table.features(t.as_py())) >= threshold for t in batch.column(at)], pa.bool_()))
+        del table
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

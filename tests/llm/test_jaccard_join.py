@@ -52,7 +52,9 @@ def corpus(seed, n=150, vocab=400):
 
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
-def test_equals_brute_force(spark, k, percent, monkeypatch):
+@pytest.mark.parametrize("least", [3, 50])
+def test_equals_brute_force(spark, k, percent, least, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_LEAST", least)
     rows = [*corpus(k, 150), (9001, None), (9002, ""), (9003, " \n"), (9004, "One two"), (9005, "one  TWO")]
     got = {r[0]: (r[1], r[2]) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=k, percent=percent).collect()}
     assert got == brute(rows, k, percent)
@@ -85,3 +87,20 @@ def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     got = jaccard_components(spark.createDataFrame([(1, long), (2, long + " end")], "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {1}
+
+
+def test_linked_sets_share_a_signature():
+    rng, schemes = np.random.default_rng(8), {}
+    for percent in (50, 80, 90):
+        for n in [*range(1, 40), 60, 100, 170, 400, 1500]:
+            base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            hot = np.sort(rng.permutation(base)[: rng.integers(0, len(base) + 1)])
+            for _ in range(4):
+                gone = rng.integers(0, n * (100 - percent) // 100 + 1)
+                other = np.sort(rng.permutation(base)[gone:])
+                other = np.unique(np.r_[other, rng.integers(0, 2**63, rng.integers(0, max(1, n * (100 - percent) // 100 - gone + 1)), dtype=np.uint64)])
+                both = len(np.intersect1d(base, other))
+                if both and 100 * both >= percent * len(np.union1d(base, other)):
+                    for bands in (jaccard_join.WIDE, jaccard_join.NARROW):
+                        a, b = (jaccard_join.signatures(x, percent, schemes.setdefault((percent, bands), {}), hot, bands) for x in (base, other))
+                        assert len(np.intersect1d(a, b)), (percent, n)

@@ -118,11 +118,12 @@ def ascii_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, where a step holds several times a batch's size."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, of so many rows or bytes on average, where a step holds several times a batch's size."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = min(rows, max(1, size * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
     give_back()
 
 

@@ -445,9 +445,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sized = blocks.join(known.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), blocks["id"] == F.col("doc_id")).select(F.col("component").alias("block"), "doc_id", "n")
     placed = _sized(sized).join(texts, "doc_id").select("block", "doc_id", "elements", "leader", "text")
     sets = scratch.save(placed.mapInArrow(lambda it: _with_sets(it, k), SETS), "sets-0")
+    links, held = [_searched(sets, scratch, percent, "links-0")], None
     scratch.release()
-    small, large, held = [sets.where(F.col("elements") <= BLOCK)], sets.where(F.col("elements") > BLOCK), None
     for i in range(1, REFINE + 1):
+        large = sets.where(F.col("elements") > BLOCK)
         now = large.count()
         if not now or now == held:
             break
@@ -456,19 +457,19 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         blocks = _blocks(members, scratch, k, percent, REFINE_LEAST, NARROW, str(i))
         sized = _sized(blocks.select(F.col("component").alias("block"), F.col("id").alias("doc_id")).join(members.select("doc_id", (F.length("packed") / 8).cast("long").alias("n")), "doc_id"))
         sets = scratch.save(sized.select("block", "doc_id", "elements", "leader").join(members, "doc_id").select("block", "doc_id", "elements", "leader", "packed"), f"sets-{i}")
+        scratch.drop(f"sets-{i - 1}")
+        links.append(_searched(sets, scratch, percent, f"links-{i}"))
         scratch.release()
-        small.append(sets.where(F.col("elements") <= BLOCK))
-        large = sets.where(F.col("elements") > BLOCK)
 
     # copies: the smallest id of each digest stands for its class
     first = known.groupBy("digest").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
     edges = known.join(first, "digest").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
-    for part in small:
-        rows = part.select("block", "doc_id", "packed").repartition(partitions(spark), "block").sortWithinPartitions("block", "doc_id")
-        edges = edges.union(rows.mapInArrow(lambda it: _search_blocks(it, percent), "a long, b long"))
+    for part in links:
+        edges = edges.union(part)
+    large = sets.where(F.col("elements") > BLOCK)
     if not large.isEmpty():
         edges = edges.union(_large_blocks(large, scratch, percent))
-    found = connected_components(edges, scratch, "links")
+    found = connected_components(edges, scratch, "linked")
     for i in range(REFINE + 1):
         scratch.drop(f"sets-{i}")
     return facts.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -492,6 +493,13 @@ def _blocks(docs: DataFrame, scratch: Scratch, k: int, percent: int, least: int,
     return blocks
 
 
+def _searched(sets: DataFrame, scratch: Scratch, percent: int, name: str) -> DataFrame:
+    """Links of the blocks that one task can hold."""
+    rows = sets.where(F.col("elements") <= BLOCK).select("block", "doc_id", "packed")
+    rows = rows.repartition(partitions(sets.sparkSession), "block").sortWithinPartitions("block", "doc_id")
+    return scratch.save(rows.mapInArrow(lambda it: _search_blocks(it, percent), "a long, b long"), name)
+
+
 def _sized(placed: DataFrame) -> DataFrame:
     """``block, doc_id, n`` with the elements of each block and its least document."""
     return placed.join(placed.groupBy("block").agg(F.sum("n").alias("elements"), F.min("doc_id").alias("leader")), "block")

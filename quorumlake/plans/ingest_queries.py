@@ -105,7 +105,7 @@ def work_queue(spark, sf):
 def recompute(spark, sf):
     from ..functions.text import first_rule
 
-    return Tables(spark, sf).documents.select("doc_id", first_rule(F.substring("text", 1, 2000), [("apache", "A"), ("mit license", "M")], "none").alias("kind"))
+    return Tables(spark, sf).documents.select("doc_id", first_rule(F.col("text"), [("apache", "A"), ("mit license", "M")], "none").alias("kind"))
 
 
 # ---------------------------------------------------------------- incremental

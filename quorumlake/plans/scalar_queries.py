@@ -111,7 +111,7 @@ def parse_roll_name(spark, sf):
 
 @query("SELECT doc_id, replace(lower(substr(text, 1, 200)), 'ß', 'ss') AS folded FROM documents WHERE lang = 'de'")
 def casefold(spark, sf):
-    return Tables(spark, sf).documents.where("lang = 'de'").select("doc_id", text.casefold(F.substring("text", 1, 200)).alias("folded"))
+    return Tables(spark, sf).documents.select("doc_id", text.casefold(F.col("text")).alias("folded"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Saal' WHEN 1 THEN o_orderpriority END AS place FROM orders")
@@ -139,7 +139,7 @@ def content_hash(spark, sf):
 
 @query(r"SELECT doc_id, trim(regexp_replace(substr(text, 1, 500), '\s+', ' ', 'g')) AS t FROM documents")
 def squash_ws(spark, sf):
-    return Tables(spark, sf).documents.select("doc_id", text.squash(F.substring("text", 1, 500)).alias("t"))
+    return Tables(spark, sf).documents.select("doc_id", text.squash(F.col("text")).alias("t"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'ja' WHEN 'N' THEN 'enthaltung' ELSE 'abwesend' END AS choice FROM lineitem")
@@ -196,7 +196,7 @@ def month_sequence(spark, sf):
 
 @query("SELECT page_id, replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '>', '&gt;'), '<', '&lt;') AS xml FROM pages")
 def xml_escape(spark, sf):
-    return Tables(spark, sf).pages.select("page_id", text.xml_escape(F.substring("html", 1, 300)).alias("xml"))
+    return Tables(spark, sf).pages.select("page_id", text.xml_escape(F.col("html")).alias("xml"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'top9' WHEN 'N' THEN 'top' || l_orderkey || '.' || l_linenumber END AS anchor FROM lineitem")

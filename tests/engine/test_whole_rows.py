@@ -21,3 +21,12 @@ def test_recompute_sees_markers_anywhere(run):
     far = "x " * 5000
     docs = [(1, far + "Apache"), (2, far + "the MIT License"), (3, far), (4, None), (5, "apache")]
     assert run("recompute", documents=("doc_id long, text string", docs)) == [(1, "A"), (2, "M"), (3, "none"), (4, "none"), (5, "A")]
+
+
+def test_scalars_take_whole_values_of_all_rows(run):
+    docs = [(1, "en", "Ab " * 400 + "STRASSE"), (2, "de", "Ab " * 400 + "Straße"), (3, None, None)]
+    table = ("doc_id long, lang string, text string", docs)
+    assert run("casefold", documents=table) == [(1, "ab " * 400 + "strasse"), (2, "ab " * 400 + "strasse"), (3, None)]
+    spaced = ("doc_id long, text string", [(1, " a \n\t b" * 500)])
+    assert run("squash_ws", documents=spaced) == [(1, " ".join(["a b"] * 500))]
+    assert run("xml_escape", pages=("page_id long, html string", [(1, "<p>" * 200 + "&")])) == [(1, "&lt;p&gt;" * 200 + "&amp;")]

@@ -97,12 +97,16 @@ def match_sessions(tickers: DataFrame, live: DataFrame) -> DataFrame:
 
     One meeting on the date is it; of several, the first whose committee starts with the
     ticker's first 12 letters; otherwise none.
+    Sessions are aggregated by date, and by date and prefix of the committee, before they meet tickers.
     """
-    m = live.select(F.col("id").alias("meeting_id"), F.col("date").alias("_d"), "body_name")
-    j = tickers.join(m, tickers["date"] == m["_d"], "left")
-    fits = F.startswith(F.coalesce("body_name", F.lit("")), F.substring("committee", 1, 12)) & (F.coalesce("committee", F.lit("")) != "")
-    out = j.groupBy("ticker", "date", "committee").agg(F.count("meeting_id").alias("n"), F.min("meeting_id").alias("only"), F.min(F.when(fits, F.col("meeting_id"))).alias("named"))
-    return out.select("ticker", "date", "committee", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("named")).alias("meeting_id"))
+    m = live.where("date is not null").select(F.col("id").alias("meeting_id"), F.col("date").alias("_d"), F.substring(F.coalesce("body_name", F.lit("")), 1, 12).alias("head"))
+    m = m.groupBy("_d", "head").agg(F.count("meeting_id").alias("n"), F.min("meeting_id").alias("meeting_id"))
+    days = m.groupBy("_d").agg(F.sum("n").alias("n"), F.min("meeting_id").alias("only"))
+    cut = F.explode(F.transform(F.sequence(F.lit(0), F.length("head")), lambda k: F.substring("head", F.lit(1), k)))
+    named = m.select("_d", cut.alias("_head"), "meeting_id").where("_head <> ''").groupBy(F.col("_d").alias("_d2"), "_head").agg(F.min("meeting_id").alias("named"))
+    t = tickers.select("ticker", "date", "committee").distinct()
+    j = t.join(days, t["date"] == F.col("_d"), "left").join(named, (t["date"] == F.col("_d2")) & (F.substring("committee", 1, 12) == F.col("_head")), "left")
+    return j.select("ticker", "date", "committee", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("named")).alias("meeting_id"))
 
 
 def group_with_rest(docs: DataFrame, anchors: DataFrame, meeting: str, anchor: str) -> DataFrame:

@@ -196,7 +196,7 @@ SELECT ticker, CASE WHEN n = 1 THEN only_one ELSE named END AS meeting_id FROM j
 """)
 def ambiguous_match(spark, sf):
     o = Tables(spark, sf).orders.select("o_orderkey", F.to_date("o_orderdate").alias("date"), "o_orderpriority")
-    tickers = o.where("o_orderkey % 10 = 3").select(F.col("o_orderkey").alias("ticker"), "date", F.col("o_orderpriority").alias("committee"))
+    tickers = o.select(F.col("o_orderkey").alias("ticker"), "date", F.col("o_orderpriority").alias("committee"))
     live = o.select(F.col("o_orderkey").alias("id"), "date", F.col("o_orderpriority").alias("body_name"))
     return rec.match_sessions(tickers, live).select("ticker", "meeting_id")
 
@@ -281,7 +281,7 @@ SELECT p_partkey AS vorlage, o_custkey AS meeting_id, CAST(min(CAST(o_orderdate
 def lifecycle_chain(spark, sf):
     t = Tables(spark, sf)
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct().withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    links = li.join(t.part.where("p_size < 10").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("id").alias("file_id"), F.col("p_partkey").alias("vorlage"), F.lit(False).alias("own"))
+    links = li.join(t.part.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("id").alias("file_id"), F.col("p_partkey").alias("vorlage"), F.lit(False).alias("own"))
     o = t.orders.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("d"))
     nothing = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
     files = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("id", F.concat(F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string")).alias("meeting_id"), *nothing("agenda_anchor", "label", "doc_type"), F.array().cast("array<string>").alias("submitters"))

@@ -437,7 +437,7 @@ def slice_newest(spark, sf):
 def text_status(spark, sf):
     from ..functions.text import text_status as status
 
-    return Tables(spark, sf).documents.select("doc_id", status(F.substring("text", 1, 25)).alias("text_status"))
+    return Tables(spark, sf).documents.select("doc_id", status(F.col("text")).alias("text_status"))
 
 
 @query("""SELECT n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS json FROM nation""")

@@ -65,3 +65,8 @@ def test_lifecycle_chain_follows_every_part(run):
     orders = ("o_orderkey long, o_custkey long, o_orderdate date", [(7, 4, datetime.date(1996, 1, 1))])
     found = run("lifecycle_chain", part=part, lineitem=items, orders=orders)
     assert sorted((r[0], r[1], r[3]) for r in found) == [(1, 4, 1), (2, 4, 1), (3, 4, 2)]
+
+
+def test_text_status_looks_behind_leading_spaces(run):
+    docs = ("doc_id long, text string", [(1, " " * 30 + "prose " * 10), (2, " " * 30 + "short"), (3, None), (4, "prose " * 10)])
+    assert run("text_status", documents=docs) == [(1, "ok"), (2, "needs_ocr"), (3, "needs_ocr"), (4, "ok")]

@@ -150,11 +150,10 @@ def mixture(loglik: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tup
 
 
 def languages_of(loglik: np.ndarray, counts: np.ndarray) -> list[tuple[int, float]]:
-    """(language, proportion) of the set chosen by penalised likelihood, greatest proportion first."""
-    share, _ = mixture(loglik, counts)
-    kept = np.flatnonzero(share >= min(0.01, share.max()))
+    """(language, proportion) of the set that backward elimination from all languages leaves by penalised likelihood, greatest proportion first."""
+    kept = np.arange(loglik.shape[1])
     penalty = np.log(counts.sum() + 1)
-    share, fit_ = mixture(loglik[:, kept], counts)
+    share, fit_ = mixture(loglik, counts)
     while len(kept) > 1:
         less = np.delete(kept, share.argmin())
         share2, fit2 = mixture(loglik[:, less], counts)

@@ -114,3 +114,11 @@ def test_null_lang_column_is_no_input(spark, docs):
     blank = docs.withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit("s"))
     a, b = (sorted((r.doc_id, r.lang_pred) for r in lang_mix.predict(d, model).collect()) for d in (docs, blank))
     assert a == b
+
+
+def test_short_passage_of_a_long_text_is_kept():
+    # words are 15 nats likelier in their own language; 60 of 20,000 are of the second
+    loglik = np.array([[-5.0, -20, -20, -20], [-20, -5, -20, -20]])
+    found = dict(lang_mix.languages_of(loglik, np.array([19_940.0, 60])))
+    assert found.keys() == {0, 1} and found[1] < 0.01
+    assert [i for i, _ in lang_mix.languages_of(loglik, np.array([20_000.0, 0]))] == [0]

@@ -13,6 +13,7 @@ is verified: the template's share of shingles inside the window and a step on ei
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,7 +80,8 @@ class TemplateIndex:
     def __init__(self, templates: list[tuple[str, str]]):
         hashes = WordHashes()
         self.names = [name for name, _ in templates]
-        self.sets = [np.unique(shingle_hashes(hashes.of(license_words(t)), K)) for _, t in templates]
+        found = [np.unique(shingle_hashes(hashes.of(license_words(t)), K), return_index=True) for _, t in templates]
+        self.sets, self.orders = [x for x, _ in found], [at for _, at in found]
         short = [t for (_, t), s in zip(templates, self.sets, strict=True) if not len(s) or len(license_words(t)) < K]
         if short:
             raise ValueError(f"templates need at least {K} words: {short[0]!r}")
@@ -98,9 +100,9 @@ class TemplateIndex:
         return np.flatnonzero(self.all[at] == values)
 
     def scan(self, shingles: np.ndarray) -> list[tuple[int, float, int, int]]:
-        """(template, containment, first word, end word) of the best occurrence of each template found."""
+        """(template, containment, first word, end word) of every occurrence of each template found."""
         hits = self.holds(shingles)
-        best: dict[int, tuple[float, int, int]] = {}
+        regions: dict[int, list[tuple[int, int, float, int, int]]] = {}
         for size, bands in self.sizes.items() if len(hits) else ():
             step = -(-size // 4)
             width = size + step
@@ -114,16 +116,46 @@ class TemplateIndex:
                     inside = np.isin(around, self.sets[t])
                     share = len(np.unique(around[inside])) / size
                     where = np.flatnonzero(inside)
-                    if share >= CONTAINED and (share, -a - int(where[0])) > (best.get(t, (0.0,))[0], -best.get(t, (0, 1 << 62))[1]):
-                        best[t] = share, a + int(where[0]), a + int(where[-1]) + K
-        return [(t, *best[t]) for t in sorted(best)]
+                    if share >= CONTAINED:
+                        regions.setdefault(t, []).append((a, a + len(around), share, a + int(where[0]), a + int(where[-1]) + K))
+        return [(t, *x) for t in sorted(regions) for x in self.occurrences(shingles, t, sorted(regions[t]))]
+
+    def occurrences(self, shingles: np.ndarray, t: int, regions: list[tuple[int, int, float, int, int]]) -> list[tuple[float, int, int]]:
+        """(share, first word, end word) of the occurrences in verified regions (start, end, share, first word, end word), which don't overlap.
+
+        An occurrence is a run of shingles in the template's order.  A region without one, as when words
+        of the template stand in between, is an occurrence as a whole.
+        """
+        wanted, order = self.sets[t], self.orders[t]
+        runs: list[list[int]] = []
+        done, last = 0, -1
+        for start, end, *_ in regions:
+            part = shingles[max(start, done) : end]
+            at = np.minimum(np.searchsorted(wanted, part), len(wanted) - 1)
+            for i in np.flatnonzero(wanted[at] == part).tolist():
+                place, now = max(start, done) + i, int(order[at[i]])
+                if runs and now > last and place - runs[-1][0] < end - start:
+                    runs[-1].append(place)
+                else:
+                    runs.append([place])
+                last = now
+            done = max(done, end)
+        out: list[tuple[int, int, float]] = []
+        for run in runs:
+            if len(run) >= CONTAINED * len(wanted) and (not out or run[0] >= out[-1][1]):
+                out.append((run[0], run[-1] + K, len(run) / len(wanted)))
+        for _, _, share, first, end in sorted(regions, key=lambda x: (-x[2], x[0])):
+            i = bisect(out, first, key=lambda x: x[0])
+            if not (i and out[i - 1][1] > first or i < len(out) and out[i][0] < end):
+                out.insert(i, (first, end, share))
+        return [(share, first, end) for first, end, share in out]
 
 
 FOUND = "doc_id long, license string, template int, containment double, first_word long, end_word long"
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each template found in each row of ``docs``: its best occurrence, the first of equal ones.
+    """A row for each occurrence of each template in each row of ``docs``; those of one template don't overlap.
 
     ``first_word`` and ``end_word`` count words from 0.  Null, empty and wordless texts, and
     texts of under five words, hold no template.  Whole texts are scanned; repeated rows give

@@ -62,3 +62,11 @@ def test_spans_and_odd_rows(spark):
     assert s.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), []).collect() == []
     with pytest.raises(ValueError):
         s.TemplateIndex([("short", "MIT License")])
+
+
+def test_every_occurrence(spark):
+    line, long = "Licensed under the Apache License, Version 2.0.", s.TEMPLATES[2][1]
+    n = len(s.license_words(long))
+    rows = [(1, " ".join([line, "a b c", line, line])), (2, "x " * 1000 + f"{long} {long} " + "y " * 500 + long)]
+    got = sorted((r.doc_id, r.template, r.first_word, r.end_word) for r in s.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0, a, a + 7) for a in (0, 10, 17)] + [(2, 2, a, a + n) for a in (1000, 1000 + n, 1500 + 2 * n)]

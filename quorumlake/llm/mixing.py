@@ -66,38 +66,69 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, id_col: st
 
     ``weights`` (``doc_id, w``) holds quality weights over 0; without a row, with a null or with one not over 0
     it is 1, of several the greatest counts.  ``copies`` is how often the mix takes
-    the document, ``taken`` that many times its size in words.  A null text has size 0.
+    the document, ``taken`` that many times its size in words.  A null text has size 0; a document without
+    words is taken as often as its source has complete epochs.
     A null source is a source.  The document on the limit is taken if that brings the
     source nearer its target.  Equal keys are ordered by id, then size; repeated
     rows are sampled one by one.  An empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
+    scratch = scratch or Scratch(docs.sparkSession)
+    d = scratch.save(_drawn(docs, weights, id_col, text_col, source_col, seed), "sizes")
+    d = _taken(d, _limits(d, scratch), [])
+    return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def mixed_rows(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix-1", scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as ``mix_sources`` takes it.
+
+    Every row is decided by itself, those with equal or null ids included, and carries its columns
+    along: texts are joined with nothing but the weights.  Rows equal in key, id and size are
+    ordered by the hash of their text.  An empty table gives an empty table.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    limits = _limits(scratch.save(_drawn(docs, weights, id_col, text_col, source_col, seed).select("source", "bucket", "size"), "sizes"), scratch)
+    d = _drawn(docs, weights, id_col, text_col, source_col, seed, F.struct(*docs.columns).alias("row"))
+    d = _taken(d, limits, [F.xxhash64(F.col(f"row.{text_col}"))])
+    return d.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+
+
+def _drawn(docs: DataFrame, weights: DataFrame | None, id_col: str, text_col: str, source_col: str, seed: str, *kept: Column) -> DataFrame:
+    """``doc_id, source, size, key, bucket`` and what is kept."""
+    # rows without an id get numbers of their own, so that they meet neither a weight nor each other in one task
+    spread = F.when(F.col(id_col).isNull(), 1 + F.pmod(F.xxhash64(text_col), F.lit(4096))).otherwise(0)
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), spread.cast("long").alias("spread"), *kept)
     w = F.lit(1.0)
     if weights is not None:
-        d = d.join(weights.where("doc_id is not null").groupBy("doc_id").agg(F.max("w").cast("double").alias("w")), "doc_id", "left")
+        of_id = weights.where("doc_id is not null").groupBy(F.col("doc_id").alias("weighed")).agg(F.max("w").cast("double").alias("w"))
+        of_id = of_id.withColumn("weighed_spread", F.lit(0).cast("long"))
+        d = d.withColumn("met", F.coalesce("doc_id", F.lit(0).cast("long")))
+        d = d.join(of_id, (F.col("met") == F.col("weighed")) & (F.col("spread") == F.col("weighed_spread")), "left").drop("met", "weighed", "weighed_spread")
         w = F.when(F.col("w") > 0, F.col("w")).otherwise(1.0)
-    d = d.withColumn("key", -F.log(uniform(seed, F.col("doc_id"))) / w)
-    d = d.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int"))
-    d = scratch.save(d.select("doc_id", "source", "size", "key", "bucket"), "sizes")
+    d = d.withColumn("key", -F.log(uniform(seed, F.col("doc_id"))) / w).drop("w", "spread")
+    return d.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int"))
 
+
+def _limits(d: DataFrame, scratch: Scratch) -> DataFrame:
+    """Targets of each source and what they mean for each of its buckets: wholly taken, wholly not, or null."""
     sums = scratch.save(d.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "sums")
     targets = source_targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("epochs", epochs).withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("upto", F.sum("n").over(run)).join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    decided = sums.select(
+    return sums.select(
         F.col("source").alias("s"), F.col("bucket").alias("b"), "source_size", "target", "epochs", "left",
         (F.col("upto") - F.col("n")).alias("base"),
-        F.when(F.col("upto") <= F.col("left"), 1).when(F.col("upto") - F.col("n") >= F.col("left"), 0).alias("whole"),
+        F.when((F.col("left") > 0) & (F.col("upto") <= F.col("left")), 1).when((F.col("left") <= 0) | (F.col("upto") - F.col("n") >= F.col("left")), 0).alias("whole"),
     )
-    d = d.join(decided, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+
+
+def _taken(d: DataFrame, limits: DataFrame, ties: list[Column]) -> DataFrame:
+    """Rows of ``d`` with their source's size and target and their ``copies``."""
+    d = d.join(limits, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     inner = d.where("whole is null")
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, 0)
     inner = inner.withColumn("before", F.col("base") + F.sum("size").over(order) - F.col("size"))
     inner = inner.withColumn("part", (2 * F.col("before") + F.col("size") <= 2 * F.col("left")).cast("long")).drop("before")
     outer = d.where("whole is not null").withColumn("part", F.col("whole").cast("long"))
-    d = outer.unionByName(inner).withColumn("copies", F.col("epochs") + F.col("part"))
-    return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return outer.unionByName(inner).withColumn("copies", F.col("epochs") + F.col("part"))

@@ -62,3 +62,17 @@ def test_weights_matter(spark):
     got = {r.doc_id: r.copies for r in mixing.mix_sources(df, weights).collect()}
     light, heavy = (sum(got[i] for i in range(k, 4000, 2)) for k in (0, 1))
     assert heavy > light * 1.1
+
+
+def test_mixed_rows_decide_each_row(spark):
+    rows = [(7, f"{c} " * 10, "a", c) for c in "pqrs"] + [(None, f"{c} " * 10, "a", c) for c in "tuvw"] + [(None, None, None, "x"), (8, "", "a", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row string")
+    weights = spark.createDataFrame([(7, 0.25), (0, 0.1)], "doc_id long, w double")
+    out = mixing.mixed_rows(df, weights)
+    assert out.columns == df.columns
+    got = sorted(map(str, out.collect()))
+    assert got == sorted(map(str, mixing.mixed_rows(df, weights).collect()))
+    words = sum(len((r.text or "").split()) for r in out.collect())
+    assert words == sum(r.taken for r in mixing.mix_sources(df, weights).collect()) == 120
+    assert set(got) <= set(map(str, df.collect()))
+    assert mixing.mixed_rows(df.limit(0), weights).collect() == []

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quorumlake.llm import bpe_fst, jaccard_join, lang_mix, mixing, quality, queries
 from quorumlake.llm.common import Scratch, table
@@ -36,15 +35,19 @@ def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mix to target weights: a row for each time the mix takes a document; others go."""
-    taken = mixing.mix_sources(docs, queries.quality_weights(spark, sf_dir)).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    taken = taken.withColumnRenamed("doc_id", "taken_id")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"]))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    """Mix to target weights: a row for each time the mix takes a document; others go.
+
+    Rows that share an id, or have none, are decided one by one; equal keys are ordered by id, size and the
+    text's hash.  An empty table stays empty.
+    """
+    return mixing.mixed_rows(docs, queries.quality_weights(spark, sf_dir))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: ``doc_id, n_tokens, ids`` (little-endian 32-bit), with hashes of the ids and of what they decode to."""
+    """Byte-level BPE: ``doc_id, n_tokens, ids`` (little-endian 32-bit), with hashes of the ids and of what they decode to.
+
+    A row for each row of ``docs``, repeated ones included; a null text has no ids; an empty table stays empty.
+    """
     return bpe_fst.round_trip(docs, queries.tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
@@ -63,6 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for i, (_, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{i}")
-        if i > 1:
+        if i > 0:
             scratch.drop(f"stage-{i - 1}")
     return docs

@@ -3,7 +3,13 @@
 A document's set holds the 64-bit hashes of its distinct k-word shingles.  Two
 documents link when ``100 * |r & s| >= percent * |r | s|``, |r & s| > 0.
 
-1. *Blocking, exact.*  |r| <= |s| that link differ in at most
+1. *Survey, exact.*  In the order of their hashes, a set of n elements sends its first
+   ``n - T + l`` ones, where ``T = ceil(percent * n / 100)`` is the least overlap with any partner.  Two sets
+   that overlap in T elements share l of the ones they send, so a document of whose elements sent
+   fewer than l are in another document too is linked with nothing and leaves the search.
+   What is shared inside a batch is settled there; other elements are dealt by hash to buckets of a
+   bounded size, twelve bytes each.
+2. *Blocking, exact.*  |r| <= |s| that link differ in at most
    ``H = (100 - percent) * (|r| + |s|) / (100 + percent)`` elements.  Deal all
    elements by hash into ``k = H + 1 + spare`` parts: at least ``1 + spare`` parts
    are equal in both.  Parts of under two elements (under one, where two would ask for
@@ -14,18 +20,18 @@ documents link when ``100 * |r & s| >= percent * |r | s|``, |r & s| > 0.
    sends signatures for the next band if a partner may be there, so no link is
    lost.  Shingles that very many documents share are left out of the parts, which keeps
    unlike documents with a common passage apart.  Equal signatures make blocks; blocks that share documents are merged.
-2. *T-occurrence search.*  Inside a merged block an inverted list per shingle
-   names the documents holding it.  A query needs ``T = ceil(percent * |r| / 100)``
-   occurrences at least.  DivideSkip sets the L longest lists aside, merges
+3. *T-occurrence search.*  Inside a merged block an inverted list per shingle
+   names the documents holding it.  A query needs ``T`` occurrences at least.  Lists that name the query
+   alone can't bring it any; if fewer than T others are left, it ends there.  DivideSkip sets the L longest lists aside, merges
    the short ones on a heap that skips ahead to documents which can still reach
    ``T - L``, and probes the long ones by binary search.  The exact overlap
    and union decide.
-3. Queries run only for documents that no search has yet put in the component of
+4. Queries run only for documents that no search has yet put in the component of
    the block's leader: a component needs no second proof.  Blocks of more than
    ``BLOCK`` set elements are blocked anew by what is hot among their documents; those
-   still too large are cut, and such queries go to every cut in turn.
+   still too large are cut by bands of set sizes and hash, and such queries go to the cuts of the bands in which partners can be.
 
-Copies with equal sets are one class; a class is searched once.
+Documents with equal sets are one class, and the one of least id stands for it from step 2 on.
 """
 
 from __future__ import annotations
@@ -144,16 +150,30 @@ class InvertedIndex:
         self.keys, self.starts = values[first], first
         self.ends = np.r_[first[1:], len(values)] if len(values) else first
 
-    def search(self, query: np.ndarray, percent: int) -> np.ndarray:
-        """Members that link with the query, ascending."""
+    def hopeful(self, percent: int) -> np.ndarray:
+        """Members that share as many elements with all others together as a link with one of them takes."""
+        lengths = self.ends - self.starts
+        shared = np.bincount(self.members[np.repeat(lengths > 1, lengths)], minlength=len(self.sizes))
+        return shared >= np.maximum(1, -(-percent * self.sizes // 100))
+
+    def search(self, query: np.ndarray, percent: int, member: bool = False) -> np.ndarray:
+        """Members that link with the query, ascending; whether a query that is a ``member`` finds itself is open."""
         at = np.searchsorted(self.keys, query)
         inside = at < len(self.keys)
         at, asked = at[inside], query[inside]
         at = at[self.keys[at] == asked]
-        need = -(-percent * len(query) // 100)  # no member with fewer in common can link
-        if len(at) < max(need, 1):
+        need = max(1, -(-percent * len(query) // 100))  # no member with fewer in common can link
+        if len(at) < need:
             return np.empty(0, np.int64)
-        spans = sorted(((int(self.ends[i] - self.starts[i]), int(self.starts[i]), int(self.ends[i])) for i in at), reverse=True)
+        starts, ends = self.starts[at], self.ends[at]
+        lengths = ends - starts
+        if member:  # lists that name the query alone bring no one else
+            others = lengths > 1
+            starts, ends, lengths = starts[others], ends[others], lengths[others]
+            if len(lengths) < need:
+                return np.empty(0, np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        spans = list(zip(lengths[order].tolist(), starts[order].tolist(), ends[order].tolist(), strict=True))
         longest = spans[0][0]
         apart = min(int(need / (self.MU * math.log2(longest + 1) + 1)), need - 1) if longest > 1 else need - 1
         long, short = spans[:apart], spans[apart:]
@@ -224,30 +244,140 @@ class Forest:
 def block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that span the components of one block."""
     index, forest, links = InvertedIndex(sets), Forest(len(ids)), []
-    searched = [False] * len(ids)
+    hopeful = index.hopeful(percent)
+    if not hopeful.any():
+        return links
+    searched = ~hopeful
 
     def query(i: int) -> None:
         searched[i] = True
-        for j in index.search(sets[i], percent).tolist():
+        for j in index.search(sets[i], percent, member=True).tolist():
             if forest.join(i, j):
                 links.append((ids[i], ids[j]))
 
-    lead = sorted(range(len(ids)), key=lambda i: len(sets[i]))[len(ids) // 2]
+    able = np.flatnonzero(hopeful)
+    lead = int(able[np.argsort(index.sizes[able], kind="stable")[len(able) // 2]])
     query(lead)
-    for i in range(len(ids)):
+    for i in able.tolist():
         if not searched[i] and forest.root(i) != forest.root(lead):
             query(i)
     return links
 
 
-# ---------------------------------------------------------------- stages on executors
+# ---------------------------------------------------------------- the survey
 
+#: Elements sent that a bucket of the survey is to hold, about.
+BUCKET = 1_000_000
+_FACT = np.dtype([("id", "<i8"), ("n", "<i8"), ("shared", "<i8"), ("high", "<u8"), ("low", "<u8"), ("known", "?")])
+
+
+def sent_and_slack(n: int, percent: int) -> tuple[int, int]:
+    """How many elements a set of n sends, and how many of them any partner that sends as many or more has sent too."""
+    need = max(1, -(-percent * n // 100))
+    slack = max(1, min(need, n * (100 - percent) // 200))
+    return min(n, n - need + slack), slack
+
+
+def least_shared(n: int, percent: int) -> int:
+    """Elements sent by a set of n that some partner, which has ``percent`` of n elements at least, has sent too."""
+    return sent_and_slack(max(1, -(-percent * n // 100)), percent)[1]
+
+
+def _survey(batches: Iterator[pa.RecordBatch], k: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of each batch (doc_id, text) a row with the facts of its documents, and a row for each bucket with
+    the elements sent there: their hashes (four bytes; ``buckets`` fixes more) and their sets' digests, 0 if the batch has settled them."""
+    hashes, bits = WordHashes(), np.uint64(buckets.bit_length() - 1)
+    for number, batch in enumerate(slices(batches)):
+        facts, first, sent, digests = np.zeros(batch.num_rows, _FACT), {}, [], []
+        for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+            values = shingle_set(text.as_py(), k, hashes)
+            facts[i] = (doc or 0, len(values), 0, 0, 0, doc is not None)
+            if not len(values):
+                continue
+            digest = xxhash.xxh3_128_intdigest(values.tobytes())
+            facts[i]["high"], facts[i]["low"] = digest >> 64, max(1, digest & (1 << 64) - 1)
+            if doc is not None and digest not in first:
+                first[digest] = i
+                sent.append(values[: sent_and_slack(len(values), percent)[0]])
+                digests.append(i)
+        lengths = np.array([len(x) for x in sent], np.int64)
+        values = np.concatenate(sent) if sent else np.empty(0, np.uint64)
+        owner = np.repeat(np.array(digests, np.int64), lengths)
+        # by bucket (the low bits), then by what else is kept of the hash
+        values = (values & np.uint64(buckets - 1)) << np.uint64(32) | values >> bits & np.uint64(0xFFFFFFFF)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        start = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
+        count = np.diff(np.r_[start, len(values)])
+        facts["shared"] = np.bincount(owner[np.repeat(count > 1, count)], minlength=len(facts))
+        values, who = values[start], np.where(count > 1, np.uint64(0), facts["low"][owner[start]])
+        bucket = (values >> np.uint64(32)).astype(np.int64)
+        which, at = np.unique(bucket, return_index=True)
+        ends = np.r_[at[1:], len(bucket)][: len(which)]
+        kept = values.astype("<u4")
+        rows = [(-1 - number, facts.tobytes(), b"")] + [(int(x), kept[a:b].tobytes(), who[a:b].tobytes()) for x, a, b in zip(which, at, ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "a", "b"])
+
+
+SURVEY = "doc_id long, n_shingles long, digest binary, low long, shared long"
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, a, b), sorted by bucket: facts a document a row; rows with ``low`` and ``shared`` alone say
+    how many elements of a bucket the set of that digest shares with other sets."""
+
+    def counts(parts: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        values = np.concatenate([np.frombuffer(a, "<u4") for a, _ in parts])
+        who = np.concatenate([np.frombuffer(b, "<u8") for _, b in parts])
+        order = np.lexsort((who, values))
+        values, who = values[order], who[order]
+        new = np.r_[True, (values[1:] != values[:-1]) | (who[1:] != who[:-1])]  # copies in several batches count once
+        values, who = values[new], who[new]
+        start = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+        several = np.repeat(np.diff(np.r_[start, len(values)]) > 1, np.diff(np.r_[start, len(values)]))
+        low, n = np.unique(who[several & (who != 0)], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(low), pa.int64()), pa.nulls(len(low), pa.int64()), pa.nulls(len(low), pa.binary()), pa.array(low.view(np.int64)), pa.array(n.astype(np.int64))], names)
+
+    names = [x.split()[0] for x in SURVEY.split(", ")]
+    bucket, parts = None, []
+    for batch in batches:
+        for now, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            if now != bucket and parts:
+                yield counts(parts)
+                parts = []
+            bucket = now
+            if now >= 0:
+                parts.append((a.as_py(), b.as_py()))
+                continue
+            f = np.frombuffer(a.as_py(), _FACT)
+            full = f["n"] > 0
+            digest = np.stack([f["high"], f["low"]], 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(f["id"], mask=~f["known"]), pa.array(f["n"]), pa.array([d.tobytes() if ok else None for d, ok in zip(digest, full, strict=True)], pa.binary()), pa.array(f["low"].view(np.int64), mask=~full), pa.array(f["shared"])],
+                names,
+            )
+    if parts:
+        yield counts(parts)
+    parts = []
+    give_back()
 
-FACTS = "doc_id long, n_shingles long, digest binary, sigs array<long>, near array<long>"
 
+def survey(texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """``doc_id, n_shingles, digest, low, shared`` for every document, and rows of counts alone (null size)."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sent = size / 5 * (sent_and_slack(1000, percent)[0] / 1000)  # words have some five bytes
+    buckets = 1 << max(4, min(20, math.ceil(math.log2(max(1, sent / BUCKET)))))
+    rows = texts.mapInArrow(lambda it: _survey(it, k, percent, buckets), "bucket int, a binary, b binary")
+    rows = rows.repartition(partitions(texts.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return scratch.save(rows.mapInArrow(_settled, SURVEY), "survey")
+
+
+# ---------------------------------------------------------------- stages on executors
 
-#: A shingle is hot if it is in this share of the documents, and in this many, at least.
-HOT_SHARE, HOT_LEAST = 0.001, 50
+FACTS = "doc_id long, n_shingles long, digest binary, sigs array<long>, near array<long>"
+
+#: A shingle is hot if it is in this share of the documents, and in this many, at least; so many at most are kept out of the parts.
+HOT_SHARE, HOT_LEAST, HOT_MOST = 0.001, 50, 500_000
 #: How often blocks too large for one search are blocked anew, by what is hot among their documents.
 REFINE, REFINE_LEAST = 3, 8
 
@@ -270,21 +400,18 @@ def _frequent(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 
 
 def hot_shingles(docs: DataFrame, k: int, scratch: Scratch, least: int) -> np.ndarray:
-    """Sorted hashes of the hot shingles; at most the mean set size over ``HOT_SHARE``, however many documents.
+    """Sorted hashes of the hot shingles, the ``HOT_MOST`` most frequent ones at most.
 
     Results don't depend on it, only how many documents share blocks.
     """
     counts = docs.mapInArrow(lambda it: _frequent(it, k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     counts = scratch.save(counts.where(F.col("shingle").isNull() | (F.col("n") >= least)), "frequent")
     total = sum(r.n for r in counts.where("shingle is null").collect())
-    found = [r.shingle for r in counts.where(F.col("shingle").isNotNull() & (F.col("n") >= total * HOT_SHARE)).select("shingle").collect()]
+    found = [r.shingle for r in counts.where(F.col("shingle").isNotNull() & (F.col("n") >= total * HOT_SHARE)).orderBy(F.col("n").desc(), "shingle").limit(HOT_MOST).select("shingle").collect()]
     scratch.drop("frequent")
     return np.sort(np.array(found, np.int64).view(np.uint64))
 
 
-FACTS = "doc_id long, n_shingles long, digest binary, sigs array<long>, near array<long>"
-
-
 def _facts(batches: Iterator[pa.RecordBatch], k: int, percent: int, hot: np.ndarray, bands: tuple[float, float]) -> Iterator[pa.RecordBatch]:
     """Per document its set size and digest; once for equal sets of a batch, its signatures;
     of documents of a batch with equal signatures only the first sends them, the others name it in ``near``."""
@@ -434,62 +561,86 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     a row with a null id comes back with a null component, linked with nothing.
     An empty table gives an empty table.  Other columns of ``docs`` are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = _blocks(texts, scratch, k, percent, HOT_LEAST, WIDE, "0", keep="facts")
-    facts = scratch.read("facts", "doc_id long, n_shingles long, digest binary")
+    found = survey(texts, scratch, k, percent)
+    facts = found.where("n_shingles is not null")
     known = facts.where("digest is not null and doc_id is not null")
 
-    # blocks small enough are searched whole, by one task each; others are blocked anew
-    sized = blocks.join(known.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), blocks["id"] == F.col("doc_id")).select(F.col("component").alias("block"), "doc_id", "n")
-    placed = _sized(sized).join(texts, "doc_id").select("block", "doc_id", "elements", "leader", "text")
-    sets = scratch.save(placed.mapInArrow(lambda it: _with_sets(it, k), SETS), "sets-0")
-    links, held = [_searched(sets, scratch, percent, "links-0")], None
+    # classes of equal sets; a class of very many documents is spread over rows of its own
+    spread = F.pmod(F.xxhash64("doc_id", F.lit("spread")), F.lit(SPREAD)).cast("int")
+    parts = known.groupBy("digest", "low", spread.alias("spread")).agg(F.min("doc_id").alias("lead"), F.max("n_shingles").alias("n"), F.max("shared").alias("shared"))
+    parts = scratch.save(parts, "parts")
+    classes = scratch.save(parts.groupBy("digest", "low").agg(F.min("lead").alias("lead"), F.max("n").alias("n"), F.max("shared").alias("shared")), "classes")
+    counted = found.where("n_shingles is null").groupBy("low").agg(F.sum("shared").alias("elsewhere"))
+    shared = F.col("shared") + F.coalesce("elsewhere", F.lit(0))
+    # at least least_shared(n), by the same integers
+    need = F.greatest(F.lit(1), F.expr(f"({percent} * n + 99) div 100"))
+    wanted = F.greatest(F.lit(1), F.least(F.greatest(F.lit(1), F.expr(f"({percent} * need + 99) div 100")), F.expr(f"(need * {100 - percent}) div 200")))
+    hopeful = classes.join(counted, "low", "left").withColumn("need", need).where(shared >= wanted).select(F.col("lead").alias("doc_id")).distinct()
+    base = texts.where("doc_id is not null").join(hopeful, "doc_id", "left_semi").mapInArrow(lambda it: _packed(it, k), "doc_id long, packed binary")
+    members = scratch.save(base, "base")
     scratch.release()
-    for i in range(1, REFINE + 1):
+
+    # blocks small enough are searched whole, by one task each; others are blocked anew
+    links, held, large = [], None, None
+    for i in range(REFINE + 1):
+        blocks = _blocks(members, scratch, k, percent, REFINE_LEAST if i else HOT_LEAST, NARROW if i else WIDE, str(i))
+        sizes = members.select("doc_id", (F.length("packed") / 8).cast("long").alias("n"))
+        placed = scratch.save(blocks.select(F.col("component").alias("block"), F.col("id").alias("doc_id")).join(sizes, "doc_id"), "placed")
+        sets = scratch.save(_sized(placed).join(members, "doc_id").select("block", "doc_id", "elements", "leader", "packed"), f"sets-{i}")
+        scratch.drop(f"sets-{i - 1}" if i else "base")
+        scratch.drop("placed")
+        scratch.drop(f"members-{i}")
+        links.append(_searched(sets, scratch, percent, f"links-{i}"))
+        scratch.release()
         large = sets.where(F.col("elements") > BLOCK)
         now = large.count()
         if not now or now == held:
             break
-        held = now
-        members = large.select("doc_id", "packed")
-        blocks = _blocks(members, scratch, k, percent, REFINE_LEAST, NARROW, str(i))
-        sized = _sized(blocks.select(F.col("component").alias("block"), F.col("id").alias("doc_id")).join(members.select("doc_id", (F.length("packed") / 8).cast("long").alias("n")), "doc_id"))
-        sets = scratch.save(sized.select("block", "doc_id", "elements", "leader").join(members, "doc_id").select("block", "doc_id", "elements", "leader", "packed"), f"sets-{i}")
-        scratch.drop(f"sets-{i - 1}")
-        links.append(_searched(sets, scratch, percent, f"links-{i}"))
-        scratch.release()
+        held, members = now, large.select("doc_id", "packed")
+    if now:
+        links.append(_large_blocks(large, scratch, percent))
 
-    # copies: the smallest id of each digest stands for its class
-    first = known.groupBy("digest").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    edges = known.join(first, "digest").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+    # an id with several sets joins their classes
+    repeated = known.groupBy("doc_id").agg(F.min("low").alias("x"), F.max("low").alias("y")).where("x <> y").select("doc_id")
+    edges = known.select("doc_id", "digest").join(repeated, "doc_id").join(classes.select("digest", "lead"), "digest").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
     for part in links:
         edges = edges.union(part)
-    large = sets.where(F.col("elements") > BLOCK)
-    if not large.isEmpty():
-        edges = edges.union(_large_blocks(large, scratch, percent))
-    found = connected_components(edges, scratch, "linked")
-    for i in range(REFINE + 1):
-        scratch.drop(f"sets-{i}")
-    return facts.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    joined = connected_components(edges, scratch, "linked")
+    for name in (f"sets-{i}", "cuts", "led", "rest", *(f"links-{j}" for j in range(i + 1))):
+        scratch.drop(name)
+    component = classes.select("digest", "lead").join(joined.withColumnRenamed("id", "lead"), "lead", "left").select("digest", F.coalesce("component", "lead").alias("component_id"))
+    component = parts.select("digest", "spread").join(component, "digest")  # SPREAD rows of a class at most
+    linked = known.withColumn("spread", spread).join(component, ["digest", "spread"]).select("doc_id", "n_shingles", "component_id")
+    alone = facts.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.union(alone)
 
 
-def _blocks(docs: DataFrame, scratch: Scratch, k: int, percent: int, least: int, bands: tuple[float, float], tag: str, keep: str | None = None) -> DataFrame:
-    """``id, component`` of the documents (doc_id, text or packed set) that share signatures.
+#: Rows that a class of equal sets, or a block, is spread over where it meets what is known of it.
+SPREAD = 64
 
-    ``keep`` names a table of their facts that is to stay.
-    """
+
+def _packed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Sets of a batch (doc_id, text), packed; equal rows of a batch once."""
+    hashes = WordHashes()
+    for batch in slices(batches):
+        sets = dict.fromkeys((i, shingle_set(t.as_py(), k, hashes).tobytes()) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        sets = [x for x in sets if x[1]]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in sets], pa.int64()), pa.array([x for _, x in sets], pa.binary())], ["doc_id", "packed"])
+
+
+def _blocks(docs: DataFrame, scratch: Scratch, k: int, percent: int, least: int, bands: tuple[float, float], tag: str) -> DataFrame:
+    """``id, component`` of the documents (doc_id, packed set) that share signatures."""
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(hot_shingles(docs, k, scratch, least))
-    sent = scratch.save(docs.mapInArrow(lambda it: _facts(it, k, percent, hot.value, bands), FACTS), f"sent-{tag}")
-    if keep:
-        scratch.save(sent.select("doc_id", "n_shingles", "digest"), keep)
+    sent = scratch.save(docs.mapInArrow(lambda it: _facts(it, k, percent, hot.value, bands), FACTS).select("doc_id", "sigs", "near"), f"sent-{tag}")
     rows = sent.select(F.explode("sigs").alias("sig"), "doc_id")
     stars = rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "doc_id").mapInArrow(_star_edges, "a long, b long")
     near = sent.select(F.col("doc_id").alias("a"), F.explode("near").alias("b"))
     blocks = scratch.save(connected_components(stars.union(near), scratch, f"blocks-{tag}"), f"members-{tag}")
     scratch.drop(f"sent-{tag}")
+    hot.destroy()
     return blocks
 
 
@@ -502,36 +653,36 @@ def _searched(sets: DataFrame, scratch: Scratch, percent: int, name: str) -> Dat
 
 def _sized(placed: DataFrame) -> DataFrame:
     """``block, doc_id, n`` with the elements of each block and its least document."""
-    return placed.join(placed.groupBy("block").agg(F.sum("n").alias("elements"), F.min("doc_id").alias("leader")), "block")
-
-
-SETS = "block long, doc_id long, elements long, leader long, packed binary"
-
-
-def _with_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in slices(batches):
-        packed = [shingle_set(t.as_py(), k, hashes).tobytes() for t in batch.column(4)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(packed, pa.binary())], ["block", "doc_id", "elements", "leader", "packed"])
+    placed = placed.withColumn("spread", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int"))
+    parts = placed.groupBy("block", "spread").agg(F.sum("n").alias("elements"), F.min("doc_id").alias("leader"))
+    whole = parts.groupBy("block").agg(F.sum("elements").alias("elements"), F.min("leader").alias("leader"))
+    return placed.join(parts.select("block", "spread").join(whole, "block"), ["block", "spread"]).drop("spread")
 
 
 def _large_blocks(large: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Links of blocks that don't fit one task.
 
-    First one leader of each block queries every cut; then every member not found
+    Cuts hold sets of one band of sizes, of a ratio of ``100 / percent``: a partner lies in the same
+    band or the next on either side.  First one leader of each block queries the cuts; then every member not found
     linked to the leader does.  Members known to be linked to the leader need no query of
     their own: their links to other members are found from the other side, or
     lie within the leader's component.
     """
     spark = large.sparkSession
-    cuts = F.ceil(F.col("elements") / F.lit(BLOCK)).cast("int")
-    cut = F.struct("block", F.pmod(F.xxhash64("doc_id"), cuts).cast("int").alias("part"))
-    members = scratch.save(large.select(cut.alias("cut"), "block", cuts.alias("cuts"), "leader", "doc_id", "packed"), "cuts")
+    size = F.length("packed") / 8
+    band = F.floor(F.log(size) / math.log(100 / percent)).cast("int") if percent < 100 else size.cast("int")
+    members = large.select("block", "leader", "doc_id", band.alias("band"), "packed")
+    cuts = members.groupBy("block", "band").agg(F.ceil(F.sum(F.length("packed")) / F.lit(8 * BLOCK)).cast("int").alias("cuts"))
+    cuts = scratch.save(cuts, "bands")  # a row for each band of each block; few blocks are large
+    members = members.join(cuts, ["block", "band"])
+    cut = lambda part: F.struct("block", "band", part.cast("int").alias("part"))
+    members = scratch.save(members.select(cut(F.pmod(F.xxhash64("doc_id"), "cuts")).alias("cut"), "block", "leader", "doc_id", "band", "packed"), "cuts")
 
     def searched(queries: DataFrame, name: str) -> DataFrame:
-        """Every query against every cut of its block."""
-        q = queries.select(F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part"), "block", "doc_id", "packed")
-        q = q.select(F.struct("block", F.col("part").cast("int").alias("part")).alias("cut"), F.lit(True).alias("q"), "doc_id", "packed")
+        """Every query against the cuts of its block in which partners can be."""
+        q = queries.select("block", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band"), "doc_id", "packed").join(cuts, ["block", "band"])
+        q = q.select("block", "band", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part"), "doc_id", "packed")
+        q = q.select(cut(F.col("part")).alias("cut"), F.lit(True).alias("q"), "doc_id", "packed")
         m = members.select("cut", F.lit(False).alias("q"), "doc_id", "packed")
         both = m.union(q).repartition(partitions(spark), "cut").sortWithinPartitions("cut", "q", "doc_id")
         return scratch.save(both.mapInArrow(lambda it: _search_cuts(it, percent), "a long, b long"), name)

@@ -104,3 +104,47 @@ def test_linked_sets_share_a_signature():
                     for bands in (jaccard_join.WIDE, jaccard_join.NARROW):
                         a, b = (jaccard_join.signatures(x, percent, schemes.setdefault((percent, bands), {}), hot, bands) for x in (base, other))
                         assert len(np.intersect1d(a, b)), (percent, n)
+
+
+def test_survey_keeps_whatever_has_a_partner():
+    rng = np.random.default_rng(12)
+    for percent in (10, 50, 80, 90, 100):
+        for n in [*range(1, 60), 200, 999]:
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            for _ in range(6):
+                gone = rng.integers(0, n * (100 - percent) // 100 + 1)
+                b = np.unique(np.r_[rng.permutation(a)[gone:], rng.integers(0, 2**63, rng.integers(0, max(1, n * 100 // percent - n + 1)), dtype=np.uint64)])
+                both = len(np.intersect1d(a, b))
+                if both and 100 * both >= percent * len(np.union1d(a, b)):
+                    sent = [x[: jaccard_join.sent_and_slack(len(x), percent)[0]] for x in (a, b)]
+                    shared = len(np.intersect1d(*sent))
+                    assert shared >= jaccard_join.least_shared(len(a), percent), (percent, len(a), len(b))
+                    assert shared >= jaccard_join.least_shared(len(b), percent), (percent, len(a), len(b))
+
+
+@pytest.mark.parametrize("buckets", [1, 1_000_000])
+def test_groups_across_batches_and_buckets(spark, buckets, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET", buckets)
+    rows = [(i, t) for i, t in corpus(21, 120)]
+    rows += [(7000 + i, rows[0][1]) for i in range(200)] + [(7500 + i, rows[1][1] + " ." * (i % 2)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(13)
+    for k, percent in ((3, 90), (5, 80)):
+        got = {r[0]: (r[1], r[2]) for r in jaccard_components(df, k=k, percent=percent).collect()}
+        assert got == brute(rows, k, percent)
+
+
+def test_an_id_with_several_texts_joins_their_groups(spark):
+    a, b, c = ("a b c d e f g h", "p q r s t u v w", "x y z o l m n k")
+    rows = [(9, a), (9, b), (9, c), (4, a), (5, b), (12, c), (20, "alone in here with itself"), (None, a), (9, None)]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id is not None and r.n_shingles)
+    assert got == [(4, 4), (5, 4), (9, 4), (9, 4), (9, 4), (12, 4), (20, 20)]
+
+
+def test_texts_of_megabytes(spark):
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(500_000)]
+    near = list(long)
+    near[1000] = "edited"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(reversed(long))), (4, None)]
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}

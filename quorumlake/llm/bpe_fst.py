@@ -8,10 +8,13 @@ a thread for every place where a token may still be open, each a node of the voc
 trie with the last token before it.
 
 Determinisation.  A state is the set of live threads.  Transitions, each with the token that
-ends at its byte, are computed the first time they are needed and kept.  A thread dies
-within the longest token's length, which bounds the lookahead; once no thread is open,
-the tokens so far are settled and emitted.  States and transitions are dropped when
-there are too many, and built anew.
+ends at its byte, are computed the first time they are needed and kept.  A thread dies within the
+longest token's length, so every live thread starts within that many bytes.  What the paths of all
+of them have in common is settled: these tokens are emitted, every ``WINDOW`` bytes, and forgotten.
+States, transitions and known neighbours are dropped when there are too many, inside a piece as well, and built anew.
+
+Decoding.  Ids come in blocks; a UTF-8 machine steps over tokens, holds back the bytes of a
+character that a block leaves unfinished and notices whatever is no UTF-8.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ class State(dict):
 
     __slots__ = ("machine", "threads")
 
-    def __init__(self, machine: BpeTransducer, threads: tuple[tuple[int, int], ...]):
+    def __init__(self, machine: BpeTransducer, threads: tuple[int, ...]):
         self.machine, self.threads = machine, threads
 
     def __missing__(self, byte: int) -> tuple[State, int]:
@@ -48,8 +51,9 @@ class State(dict):
 class BpeTransducer:
     """Encodes the bytes of one piece; see the module's text."""
 
-    MAX_STATES = 60_000
-    #: Bytes after which tokens are handed on as soon as no thread is open.
+    #: States and known pairs of neighbours that are kept.
+    MAX_STATES, MAX_FITS = 150_000, 500_000
+    #: Bytes after which settled tokens are handed on.
     WINDOW = 256
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -61,7 +65,7 @@ class BpeTransducer:
             raise ValueError(f"no token for single bytes {missing[:5]}")
         # trie: edges by node * 256 + byte; token of a node, -1 if none ends there
         self.edges: dict[int, int] = {}
-        self.token, self.inner = [-1], [True]
+        self.token, self.inner, self.depth = [-1], [True], [0]
         for spelling, i in ranks.items():
             node = 0
             for byte in spelling:
@@ -72,20 +76,30 @@ class BpeTransducer:
                     nxt = self.edges[key] = len(self.token)
                     self.token.append(-1)
                     self.inner.append(False)
+                    self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.token[node] = i
+        self.spines: dict[int, tuple | None] = {}
         self.fits: dict[int, bool] = {}
+        self.held = 0  # the longest run of bytes that waited to be settled, for tests
         self._reset()
 
     def _reset(self) -> None:
-        first = ((0, -1),)  # threads: trie node, last token before
-        self.start = State(self, first)
-        self.states = {first: self.start}
+        self.states: dict[tuple, State] = {}
+        self.start = self._state((0,))
+        if len(self.fits) > self.MAX_FITS:
+            self.fits.clear()
+
+    def _state(self, threads: tuple[int, ...]) -> State:
+        found = self.states.get(threads)
+        if found is None:
+            found = self.states[threads] = State(self, threads)
+        return found
 
-    def merge(self, data: bytes) -> list[int]:
+    def merge(self, data: bytes, down_to: int = 1) -> list[int]:
         """Plain BPE: the merge of least rank first, of equal ones the leftmost.  For compiling."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > down_to:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 r = self.ranks.get(parts[i] + parts[i + 1])
@@ -96,47 +110,114 @@ class BpeTransducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def spine(self, token: int) -> tuple | None:
+        """How BPE builds the token at its left and its right edge: lists of (part, rank of the merge that takes the
+        part), smallest first; None if BPE doesn't build it.  Whether every merge ranks after its parts comes third."""
+        if token not in self.spines:
+            self.spines[token] = None
+            if self.width[token] == 1:
+                self.spines[token] = [(token, _NEVER)], [(token, _NEVER)], True
+            elif self.merge(self.spelling[token]) == [token]:
+                left, right = self.merge(self.spelling[token], down_to=2)
+                (ll, _, a), (_, rr, b) = self.spine(left), self.spine(right)
+                ordered = a and b and left < token and right < token
+                self.spines[token] = [*ll[:-1], (left, token), (token, _NEVER)], [*rr[:-1], (right, token), (token, _NEVER)], ordered
+        return self.spines[token]
+
     def compatible(self, a: int, b: int) -> bool:
-        """Whether b encodes to itself after a; a is -1 at the start."""
-        known = self.merge(self.spelling[a] + self.spelling[b]) == [a, b] if a >= 0 else self.merge(self.spelling[b]) == [b]
-        self.fits[a << 32 | b] = known
+        """Whether b encodes to itself after a; a is -1 at the start.
+
+        Merges go by rank, so parts at a's right edge and b's left edge stand side by side until either is taken
+        by a merge of its own; a merge of the two that ranks before that would join them (of equal
+        ranks the left one comes first).
+        """
+        known = self._side_by_side(a, b)
+        self.fits[a + 1 << 32 | b] = known
         return known
 
+    def _side_by_side(self, a: int, b: int) -> bool:
+        right = self.spine(b)
+        if right is None or a < 0:
+            return right is not None
+        left = self.spine(a)
+        if left is None or not (left[2] and right[2]):
+            return self.merge(self.spelling[a] + self.spelling[b]) == [a, b]
+        edge, start, rank, spelling = left[1], right[0], self.ranks.get, self.spelling
+        i = j = 0
+        while True:
+            (x, taken_x), (y, taken_y) = edge[i], start[j]
+            joined = rank(spelling[x] + spelling[y])
+            if joined is not None and joined < taken_x and joined <= taken_y:
+                return False
+            if taken_x <= taken_y:
+                if taken_x == _NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def move(self, state: State, byte: int) -> tuple[State, int]:
         """The next state, and the last token of the prefix that ends with the byte."""
         live, ended, edge, fits, tokens, inner = [], -1, self.edges.get, self.fits.get, self.token, self.inner
-        for node, last in state.threads:
-            nxt = edge(node << 8 | byte)
+        for thread in state.threads:  # node of the trie, last token before it (from 1) above
+            last = thread >> 32
+            nxt = edge((thread & 0xFFFFFFFF) << 8 | byte)
             if nxt is None:
                 continue
             if ended < 0 and (token := tokens[nxt]) >= 0:
                 fit = fits(last << 32 | token)
-                if self.compatible(last, token) if fit is None else fit:
+                if self.compatible(last - 1, token) if fit is None else fit:
                     ended = token
             if inner[nxt]:
-                live.append((nxt, last))
-        live.append((0, ended))
-        threads = tuple(live)
-        nxt = self.states.get(threads)
-        if nxt is None:
-            nxt = self.states[threads] = State(self, threads)
-        found = state[byte] = nxt, ended
+                live.append(last << 32 | nxt)
+        live.append(ended + 1 << 32)
+        found = state[byte] = self._state(tuple(live)), ended
         return found
 
     def encode(self, piece: bytes) -> list[int]:
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        if len(self.states) > self.MAX_STATES:
+        """Ids of a piece; one that is a token as a whole is that token."""
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        if len(piece) > self.WINDOW:
+            return [i for part in self.stream(piece) for i in part]
+        if len(self.states) > self.MAX_STATES or len(self.fits) > self.MAX_FITS:
+            self._reset()
+        state, ends = self.start, []
+        for byte in piece:
+            state, token = state[byte]
+            ends.append(token)
+        return self._settle(ends)
+
+    def stream(self, piece: bytes) -> Iterator[list[int]]:
+        """Ids of a piece in runs, each as soon as all live threads agree on it; what waits to be settled is bounded."""
+        if len(self.states) > self.MAX_STATES or len(self.fits) > self.MAX_FITS:
             self._reset()
-        state, ends, out = self.start, [], []
-        for start in range(0, len(piece), self.WINDOW):
-            for byte in piece[start : start + self.WINDOW]:
+        state, ends = self.start, []
+        for at in range(0, len(piece), self.WINDOW):
+            for byte in piece[at : at + self.WINDOW]:
                 state, token = state[byte]
                 ends.append(token)
-            if len(state.threads) == 1:  # nothing is open: all that went before is settled
-                out += self._settle(ends)
-                ends = []
-        return out + self._settle(ends)
+            if at + self.WINDOW < len(piece):
+                self.held = max(self.held, len(ends))
+                settled = self._agreed(state, ends)
+                if settled:
+                    yield self._settle(ends[:settled])
+                    del ends[:settled]
+                if len(self.states) > self.MAX_STATES or len(self.fits) > self.MAX_FITS:
+                    threads = state.threads
+                    self._reset()
+                    state = self._state(threads)
+        yield self._settle(ends)
+
+    def _agreed(self, state: State, ends: list[int]) -> int:
+        """Bytes up to the last place that the paths of all live threads pass."""
+        places = {len(ends) - self.depth[thread & 0xFFFFFFFF] for thread in state.threads}
+        while len(places) > 1:
+            last = max(places)
+            places.remove(last)
+            places.add(last - self.width[ends[last - 1]])
+        return max(0, places.pop())
 
     def _settle(self, ends: list[int]) -> list[int]:
         """Tokens of a settled run, found from its end: each names where the one before it ended."""
@@ -148,6 +229,10 @@ class BpeTransducer:
         return found
 
 
+#: Rank of a merge that doesn't take place.
+_NEVER = 1 << 62
+
+
 class PieceEncoder(dict):
     """Ids of a piece as little-endian u32; pieces seen lately are kept, up to a bound."""
 
@@ -242,7 +327,10 @@ class StreamDecoder:
 
 
 class ByteDecoder:
-    """Bytes of whole documents, checked by the UTF-8 machine token by token."""
+    """Bytes of whole documents in blocks of whole characters, checked by the UTF-8 machine token by token."""
+
+    #: Ids that a block holds.
+    BLOCK = 8192
 
     def __init__(self, spelling: dict[int, bytes]):
         self.spelling = spelling
@@ -259,20 +347,31 @@ class ByteDecoder:
             state = utf8_step(state, byte)
         return state
 
+    def blocks(self, ids: np.ndarray) -> Iterator[tuple[bytes, bool]]:
+        """(bytes, whether all so far is valid UTF-8); an unfinished character waits for the next block, at the end it comes as it is."""
+        state, waiting = 0, b""
+        for at in range(0, len(ids), self.BLOCK):
+            part = ids[at : at + self.BLOCK]
+            listed = part.tolist()
+            data = waiting + b"".join(map(self.spelling.__getitem__, listed))
+            waiting = b""
+            if state or not self.closed[part].all():
+                for i in listed:
+                    key = state, i
+                    state = self.after.get(key, -1)
+                    if state < 0:
+                        state = self.after[key] = self._after(key[0], self.spelling[i])
+                if state not in (0, _BROKEN):
+                    lead = len(data) - next(n for n in range(1, 4) if data[-n] & 0xC0 != 0x80)
+                    data, waiting = data[:lead], data[lead:]
+            yield data, state != _BROKEN
+        if waiting:
+            yield waiting, False
+
     def decode(self, ids: np.ndarray) -> tuple[bytes, bool]:
         """(bytes, whether they are whole valid UTF-8)."""
-        listed = ids.tolist()
-        data = b"".join(map(self.spelling.__getitem__, listed))
-        if self.closed[ids].all():
-            return data, True
-        state = 0
-        for i in listed:
-            key = state, i
-            nxt = self.after.get(key)
-            if nxt is None:
-                nxt = self.after[key] = self._after(state, self.spelling[i])
-            state = nxt
-        return data, state == 0
+        found = list(self.blocks(ids))
+        return b"".join(data for data, _ in found), all(ok for _, ok in found)
 
 
 # ---------------------------------------------------------------- DataFrame operators
@@ -300,10 +399,13 @@ def _digested(batches: Iterator[pa.RecordBatch], path: str, names: list[str]) ->
         n, of_ids, of_bytes, valid = [], [], [], []
         for x in batch.column(1):
             raw = x.as_py() or b""
-            data, ok = decoder.decode(np.frombuffer(raw, "<u4"))
+            digest, ok = hashlib.sha256(), True
+            for data, whole in decoder.blocks(np.frombuffer(raw, "<u4")):
+                digest.update(data)
+                ok &= whole
             n.append(len(raw) // 4)
             of_ids.append(hashlib.sha256(raw).hexdigest())
-            of_bytes.append(hashlib.sha256(data).hexdigest())
+            of_bytes.append(digest.hexdigest())
             valid.append(ok)
         columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string()), pa.array(valid, pa.bool_()), batch.column(1)]
         yield pa.RecordBatch.from_arrays(columns[: len(names)], names)

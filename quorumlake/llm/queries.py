@@ -81,7 +81,7 @@ def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .bpe_fst import round_trip
 
-    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("valid_utf8")
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def language_model(spark: SparkSession, sf_dir: str):

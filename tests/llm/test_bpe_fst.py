@@ -35,6 +35,8 @@ def test_states_are_dropped_and_built_anew(monkeypatch):
         piece = "".join(rng.choice("etaoinshr") for _ in range(rng.randrange(1, 25))).encode()
         assert machine.encode(piece) == machine.merge(piece)
     assert len(machine.states) < 100
+    long = "".join(rng.choice("etaoinshr") for _ in range(3000)).encode()  # dropped inside a piece as well
+    assert machine.encode(long) == machine.merge(long) and len(machine.states) < 50 + machine.WINDOW
 
 
 def test_small_vocabulary_with_token_that_merges_cannot_make():
@@ -73,3 +75,45 @@ def test_documents(spark):
     back = b.decode_documents(encoded, PATH).collect()
     assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(i), t or "") for i, t in rows)
     assert b.encode_documents(df.limit(0), PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def test_what_waits_is_bounded():
+    ranks = b.load_ranks(PATH)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    longest, rng = max(map(len, ranks)), random.Random(9)
+    pieces = ["a", "ab", "é", "aaab", "中", "thethe", "ing"]
+    pieces = [(x * 20_000)[:20_000].encode() for x in pieces] + ["".join(rng.choice("abcdefghij") for _ in range(n)).encode() for n in (10_000, 20_000)]
+    for piece in pieces:
+        machine, runs = b.BpeTransducer(ranks), 0
+        ids = []
+        for run in machine.stream(piece):
+            ids += run
+            runs += 1
+        assert ids == library.encode_ordinary(piece.decode("utf-8", "ignore")), piece[:10]
+        assert machine.held <= machine.WINDOW + 2 * longest and runs > len(piece) // 512, (piece[:10], machine.held)
+
+
+def test_neighbours_equal_merging():
+    ranks = b.load_ranks(PATH)
+    machine, rng = b.BpeTransducer(ranks), random.Random(10)
+    every = list(ranks.values())
+    common = [ranks[x] for x in ranks if len(x) < 4 and x.isalpha()]
+    for i in range(20_000):
+        x, y = (rng.choice(common if i % 2 else every) for _ in range(2))
+        if machine.merge(machine.spelling[x]) == [x]:
+            assert machine.compatible(x, y) == (machine.merge(machine.spelling[x] + machine.spelling[y]) == [x, y]), (x, y)
+
+
+def test_blocks_hold_back_unfinished_characters(monkeypatch):
+    monkeypatch.setattr(b.ByteDecoder, "BLOCK", 3)
+    ranks = b.load_ranks(PATH)
+    decoder, rng = b.ByteDecoder({i: t for t, i in ranks.items()}), random.Random(11)
+    for _ in range(500):
+        text = "".join(rng.choice("aé中😀 ") for _ in range(rng.randrange(20)))
+        ids = np.array([ranks[bytes([x])] for x in text.encode()], "<u4")
+        found = list(decoder.blocks(ids))
+        assert "".join(data.decode() for data, _ in found) == text and all(ok for _, ok in found)
+        cut = ids[:-1]
+        whole = decoder.decode(cut)
+        assert whole[0] == text.encode()[:-1] and whole[1] == (not text or text[-1] in "a ")
+    assert decoder.decode(np.array([ranks[b"\x80"], ranks[b"a"]], "<u4")) == (b"\x80a", False)

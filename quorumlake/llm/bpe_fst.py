@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -259,6 +261,12 @@ class PieceEncoder(dict):
             self.clear()
         return b"".join(map(self.__getitem__, self.pieces(text or "")))
 
+    def rest(self) -> None:
+        """Forgets pieces between tasks, as a worker keeps its memory while it waits."""
+        self.clear()
+        self.older = {}
+        give_back()
+
 
 # ---------------------------------------------------------------- decoding
 
@@ -391,6 +399,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iter
     encoder = _encoder(path, pattern)
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoder.encode(t.as_py()) for t in batch.column(1)], pa.binary())], ["doc_id", "ids"])
+    encoder.rest()
 
 
 def _digested(batches: Iterator[pa.RecordBatch], path: str, names: list[str]) -> Iterator[pa.RecordBatch]:

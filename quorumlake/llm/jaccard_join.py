@@ -578,7 +578,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     need = F.greatest(F.lit(1), F.expr(f"({percent} * n + 99) div 100"))
     wanted = F.greatest(F.lit(1), F.least(F.greatest(F.lit(1), F.expr(f"({percent} * need + 99) div 100")), F.expr(f"(need * {100 - percent}) div 200")))
     hopeful = classes.join(counted, "low", "left").withColumn("need", need).where(shared >= wanted).select(F.col("lead").alias("doc_id")).distinct()
-    base = texts.where("doc_id is not null").join(hopeful, "doc_id", "left_semi").mapInArrow(lambda it: _packed(it, k), "doc_id long, packed binary")
+    # one plan at every size: neither side of a join with texts is taken to be small
+    base = texts.where("doc_id is not null").hint("merge").join(hopeful, "doc_id", "left_semi").mapInArrow(lambda it: _packed(it, k), "doc_id long, packed binary")
     members = scratch.save(base, "base")
     scratch.release()
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch
 
 BUCKETS = 4096
+#: Rows of limits (``BUCKETS`` a source) that are broadcast; more are joined by shuffling.
+BROADCAST = 200_000
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 
@@ -102,7 +104,7 @@ def _drawn(docs: DataFrame, weights: DataFrame | None, id_col: str, text_col: st
         of_id = weights.where("doc_id is not null").groupBy(F.col("doc_id").alias("weighed")).agg(F.max("w").cast("double").alias("w"))
         of_id = of_id.withColumn("weighed_spread", F.lit(0).cast("long"))
         d = d.withColumn("met", F.coalesce("doc_id", F.lit(0).cast("long")))
-        d = d.join(of_id, (F.col("met") == F.col("weighed")) & (F.col("spread") == F.col("weighed_spread")), "left").drop("met", "weighed", "weighed_spread")
+        d = d.hint("merge").join(of_id, (F.col("met") == F.col("weighed")) & (F.col("spread") == F.col("weighed_spread")), "left").drop("met", "weighed", "weighed_spread")
         w = F.when(F.col("w") > 0, F.col("w")).otherwise(1.0)
     d = d.withColumn("key", -F.log(uniform(seed, F.col("doc_id"))) / w).drop("w", "spread")
     return d.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int"))
@@ -116,11 +118,13 @@ def _limits(d: DataFrame, scratch: Scratch) -> DataFrame:
     targets = targets.withColumn("epochs", epochs).withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("upto", F.sum("n").over(run)).join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    return sums.select(
+    limits = sums.select(
         F.col("source").alias("s"), F.col("bucket").alias("b"), "source_size", "target", "epochs", "left",
         (F.col("upto") - F.col("n")).alias("base"),
         F.when((F.col("left") > 0) & (F.col("upto") <= F.col("left")), 1).when((F.col("left") <= 0) | (F.col("upto") - F.col("n") >= F.col("left")), 0).alias("whole"),
     )
+    limits = scratch.save(limits, "limits")
+    return F.broadcast(limits) if limits.count() <= BROADCAST else limits
 
 
 def _taken(d: DataFrame, limits: DataFrame, ties: list[Column]) -> DataFrame:

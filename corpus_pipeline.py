@@ -31,7 +31,8 @@ def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     found = jaccard_join.jaccard_components(docs, k=5, percent=80)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # merged at every size: what is gone grows with the corpus
+    return docs.hint("merge").join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,8 +19,10 @@ Layout, little-endian::
 from __future__ import annotations
 
 import functools
+import json
 import struct
 import unicodedata
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -28,6 +30,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,46 +211,61 @@ _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: b if b in _PRINTABLE else 0x100 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
 
 
+# The steps before the merges for which runs of text can be encoded one by one.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PRETOKENIZER = [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
 class WordEncoder(dict):
-    """Ids (little-endian u16) of a run of text without ASCII white space, by the tokenizers
-    library; runs seen lately are kept, up to a bound.
+    """Ids (little-endian u16) of texts, by the tokenizers library.
 
-    The vocabulary's normalizer and splitter work inside such runs only (white space ends
-    every piece) and lower-case everything, so a text's ids are those of its
-    runs in order.  A full stop or comma after an ASCII letter or digit is a piece of its own, so it
-    may be set apart.
+    Where the tokenizer's file names the steps above, its normalizer and splitter work inside runs without ASCII white
+    space only (white space ends every piece) and lower-case everything, so a text's ids are those of its
+    runs in order; runs seen lately are kept, up to a bound.  A full stop or comma after an ASCII letter or digit is
+    a piece of its own, so it may be set apart.  A run of letters up to U+024F that the normalizer leaves
+    alone is split here and its pieces go straight to the library's BPE.  Any other tokenizer gets whole texts.
     """
 
-    LIMIT = 300_000
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         super().__init__()
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.older = Tokenizer.from_file(path), {}
-        self.model = self.tokenizer.model
+        self.model, self.pieces = self.tokenizer.model, regex.compile(_SPLIT).findall
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("a vocabulary of at most 65,536 ids is needed")
+        steps = json.loads(self.tokenizer.to_str())
+        special = [t["content"] for t in steps["added_tokens"]]
+        listed = lambda step, name: (steps[step] or {}).get(name)
+        self.by_runs = listed("normalizer", "normalizers") == _NORMALIZER and listed("pre_tokenizer", "pretokenizers") == _PRETOKENIZER and all(t.startswith("<|") for t in special)
 
     def __missing__(self, run: bytes) -> bytes:
         value = self.older.get(run)
         if value is None:
             word = run.decode("utf-8", "replace")
-            if word.isalpha() and word.lower() == word and unicodedata.is_normalized("NFC", word):
-                # one piece that the normalizer leaves alone: straight to the library's BPE, as its byte-level step spells it
-                ids = [t.id for t in self.model.tokenize(run.decode("latin-1").translate(_BYTE_CHARS))]
+            if word and max(word) < "\u0250" and word.lower() == word and "<|" not in word and unicodedata.is_normalized("NFC", word):
+                pieces = [word] if word.isalpha() else self.pieces(word)
+                if pieces == [word]:  # as the byte-level step spells it
+                    value = array("H", [t.id for t in self.model.tokenize(run.decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+                else:
+                    value = b"".join([self[x.encode()] for x in pieces])
             else:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            value = array("H", ids).tobytes()
+                value = array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         self[run] = value
         return value
 
     def encode(self, text: str | bytes | None) -> np.ndarray:
         """Ids of a text, given as a string or as UTF-8."""
+        runs = text.encode("utf-8", "replace") if isinstance(text, str) else text or b""
+        if not self.by_runs:
+            return np.array(self.tokenizer.encode(runs.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u2")
         if len(self) > self.LIMIT:
             self.older = dict(self)
             self.clear()
-        runs = text.encode("utf-8", "replace") if isinstance(text, str) else text or b""
         if b"<|" not in runs and b"\xcc" not in runs:  # special tokens and combining marks are told apart by case
             runs = runs.translate(_PLAIN) + b" "
             kinds = runs.translate(_KINDS)
@@ -262,14 +280,20 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _write_shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def _write_shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, folder: str) -> Iterator[pa.RecordBatch]:
     encoder, parts, docs, starts, total, shard, part = _encoder(path), [], [], [0], 0, 0, None
+    store, root = FileSystem.from_uri(folder)
     end = np.array([end_id], "<u2")
 
     def flush() -> pa.RecordBatch:
-        file = build(np.concatenate(parts), docs, starts)
+        """Writes the shard under a name of this attempt, then gives it its own: whoever sees that sees a whole file."""
+        file = f"part-{part:05d}-{shard:05d}.qwm"
+        attempt = f"{root}/.{file}-{uuid.uuid4().hex}"
+        with store.open_output_stream(attempt) as out:
+            out.write(build(np.concatenate(parts), docs, starts))
+        store.move(attempt, f"{root}/{file}")
         names = ["part", "shard", "n_tokens", "n_docs", "file"]
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([total], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([file], pa.large_binary() if len(file) >> 31 else pa.binary())], names)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([total], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([f"{folder}/{file}"])], names)
 
     for batch in batches:
         for doc, text, p in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -290,23 +314,41 @@ def _write_shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
 NO_ID = -(1 << 63)
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, name: str = "shards") -> DataFrame:
-    """Shard files ``part, shard, n_tokens, n_docs, file`` in ascending order of id.
+def write_shards(docs: DataFrame, tokenizer_path: str, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, name: str = "shards", folder: str | None = None) -> DataFrame:
+    """Writes shard files in ascending order of id and returns their list ``part, shard, n_tokens, n_docs, file``.
 
-    Each row holds one whole file; Spark writes the rows, so a lost or repeated task leaves
-    neither partial nor double files, in any store.  ``(part, shard)`` order is
+    They go to ``folder``, in a store that pyarrow's file systems reach from every executor, and stay there; without one,
+    to the scratch folder, for as long as the session lasts.  The list is kept beside them (``manifest``, Parquet).
+    A file gets its name once it is whole, and a repeated task replaces it by an equal one.  ``(part, shard)`` order is
     id order.  A null text is empty; null ids come first; rows with equal ids are ordered by text.
     An empty table gives no files.
     """
+    spark, folder = docs.sparkSession, (folder or f"{scratch.root}/{name}").rstrip("/")
+    store, root = FileSystem.from_uri(f"{folder}/files")
+    store.create_dir(root, recursive=True)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    d = d.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"), F.spark_partition_id().alias("part"))
-    return scratch.save(d.mapInArrow(lambda it: _write_shards(it, tokenizer_path, end_id), "part int, shard int, n_tokens long, n_docs long, file binary"), name)
+    d = d.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"), F.spark_partition_id().alias("part"))
+    listed = d.mapInArrow(lambda it: _write_shards(it, tokenizer_path, end_id, f"{folder}/files"), MANIFEST)
+    listed.write.mode("overwrite").parquet(f"{folder}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+
+
+MANIFEST = "part int, shard int, n_tokens long, n_docs long, file string"
+
+
+def open_shard(file: str) -> WaveletShard:
+    """A shard by its place; a local file is mapped, so that only the chunks that are asked for are read."""
+    store, path = FileSystem.from_uri(file)
+    if isinstance(store, LocalFileSystem):
+        return WaveletShard(pa.memory_map(path).read_buffer())
+    with store.open_input_file(path) as f:
+        return WaveletShard(f.read_buffer())
 
 
 def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, shard, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            w = WaveletShard(file.as_buffer())
+        for part, shard, file in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            w = open_shard(file)
             ids, starts = w.decode(), w.starts
             crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
             n = len(crc)
@@ -327,6 +369,8 @@ def shard_documents(shards: DataFrame) -> DataFrame:
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_base"))
     bases = sizes.select("part", "shard", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("base")).join(parts, "part")
-    found = shards.select("part", "shard", "file").mapInArrow(_read_shards, "part int, shard int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    # the list of files is short, the files are not: a few of them a task
+    files = shards.select("part", "shard", "file").repartition(partitions(shards.sparkSession), "part", "shard")
+    found = files.mapInArrow(_read_shards, "part int, shard int, doc_id long, local long, n_tokens long, ids_crc32 long")
     found = found.join(bases, ["part", "shard"])
     return found.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), (F.col("part_base") + F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")

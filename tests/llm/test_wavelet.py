@@ -57,3 +57,26 @@ def test_shards_hold_all_documents(spark, monkeypatch):
         start += len(ids)
     assert [tuple(r) for r in got] == want
     assert w.shard_documents(w.write_shards(df.limit(0), PATH, scratch, name="none")).collect() == []
+
+
+def test_files_stay_in_their_folder(spark, tmp_path):
+    df = spark.createDataFrame([(i, "some words here " * i) for i in range(40)], "doc_id long, text string")
+    listed = w.write_shards(df, PATH, Scratch(spark), folder=f"file://{tmp_path}/corpus")
+    files = sorted(p.name for p in (tmp_path / "corpus" / "files").iterdir() if not p.name.endswith(".crc"))
+    assert files == sorted(r.file.rsplit("/", 1)[1] for r in listed.collect()) and all(x.endswith(".qwm") for x in files)
+    library = Tokenizer.from_file(PATH)
+    for r in listed.collect():
+        shard = w.open_shard(r.file)
+        assert (shard.n, shard.n_docs) == (r.n_tokens, r.n_docs) and shard.count(w.END_ID) == r.n_docs
+        for k, i in enumerate(shard.doc_ids.tolist()):
+            assert shard.document(k).tolist() == [*library.encode("some words here " * i, add_special_tokens=False).ids, 1]
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    plain = Tokenizer.from_file(PATH)
+    plain.normalizer = None
+    plain.save(f"{tmp_path}/cased.json")
+    ours = w.WordEncoder(f"{tmp_path}/cased.json")
+    assert not ours.by_runs and w.WordEncoder(PATH).by_runs
+    for text in ("Some Words, here", "x  y", "", None):
+        assert ours.encode(text).tolist() == plain.encode(text or "", add_special_tokens=False).ids

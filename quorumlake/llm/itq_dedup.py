@@ -3,22 +3,25 @@
 *Codes.*  On a bounded sample, principal axes and then a rotation are learned by iterative
 quantisation (Gong & Lazebnik, 2011): signs of the rotated sample and the rotation that
 brings it nearest to them, in turn.  Directions are balanced by the rotation, and
-thresholds are zero because cosine is compared.  Every vector gets one bit for each axis.
+thresholds are zero because cosine is compared.  Every vector gets 64 bits; what axes there are too few
+for, and vectors of other lengths than most, take from seeded rotations.
 
-*Tables.*  A code is cut into p parts; each table is keyed by the label and c of the parts, so any
+*Tables.*  A code is cut into p parts; each table is keyed by the label, the length and c of the parts, so any
 pair with at most ``p - c = 7`` different bits meets in a table.  (p, c) follow from the number
-of vectors, which keeps buckets short: (8, 1), (9, 2) or (10, 3).  In a bucket, codes at most
-``RADIUS`` bits apart make an edge; the components of these edges are groups of candidates.
+of vectors, which keeps buckets short: (8, 1), (9, 2) or (10, 3).  A pair is retrieved in the first table where it meets,
+if its codes are at most ``RADIUS`` bits apart.
 
-*Rerank.*  Inside a group, vectors are compared by cosine in double precision.
+*Rerank.*  Vectors of which a bucket retrieves some pair are sent there, and its retrieved pairs, and
+no others, are compared by cosine in double precision.
 
-Equal vectors with equal labels are one class with a multiplicity.  Buckets and groups
+Equal vectors with equal labels are one class with a multiplicity.  Buckets
 of more than ``BLOCK`` rows are cut and their cuts meet in pairs; pairs of rows never
 leave a task, only counts of links and the edges of spanning forests.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -26,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix64, partitions
@@ -36,8 +39,10 @@ from .graph import connected_components
 SAMPLE = 4000
 ROUNDS = 30
 BITS = 64
-RADIUS = 9
-#: Rows of a bucket or group that are compared at once.
+RADIUS = 12
+#: Rows of a class that share a row where classes meet their counts, and keys of large buckets that are broadcast at most.
+SPREAD, BROADCAST = 64, 200_000
+#: Rows of a bucket that are compared at once.
 BLOCK = 2048
 
 
@@ -51,11 +56,11 @@ class ItqModel:
 
 
 def fit_rotation(sample: np.ndarray, rounds: int = ROUNDS, seed: int = 7) -> ItqModel:
-    """Axes and rotation from unit vectors; a seeded rotation if there are too few."""
+    """Axes and rotation from unit vectors; a seeded rotation if there are too few; seeded rotations more where there are under ``BITS`` axes."""
     d = sample.shape[1]
-    bits = min(d, BITS)
-    r = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))[0]
-    axes = np.eye(d)[:, :bits]
+    bits, rng = min(d, BITS), np.random.default_rng(seed)
+    r = np.linalg.qr(rng.normal(size=(bits, bits)))[0]
+    axes = np.eye(d)[:, :bits] if len(sample) >= 2 * d else np.linalg.qr(rng.normal(size=(d, bits)))[0]
     if len(sample) >= 2 * d:
         axes = np.linalg.eigh(sample.T @ sample)[1][:, ::-1][:, :bits]
         v = sample @ axes
@@ -63,7 +68,16 @@ def fit_rotation(sample: np.ndarray, rounds: int = ROUNDS, seed: int = 7) -> Itq
             b = np.where(v @ r >= 0, 1.0, -1.0)
             u, _, wt = np.linalg.svd(v.T @ b)
             r = u @ wt
-    return ItqModel(axes @ r)
+    planes = [axes @ r]
+    while sum(x.shape[1] for x in planes) < BITS:
+        planes.append(np.linalg.qr(rng.normal(size=(d, d)))[0])
+    return ItqModel(np.concatenate(planes, 1)[:, :BITS])
+
+
+@functools.lru_cache(64)
+def seeded_rotation(width: int) -> ItqModel:
+    """For lengths that nothing is learned for."""
+    return fit_rotation(np.empty((0, width)))
 
 
 def unit_rows(vectors: list, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,31 +117,33 @@ def table_keys(codes: np.ndarray, parts: int, chosen: int) -> np.ndarray:
 # ---------------------------------------------------------------- stages on executors
 
 
-def _facts(batches: Iterator[pa.RecordBatch], model: ItqModel, parts: int, chosen: int) -> Iterator[pa.RecordBatch]:
-    """Usable rows (vec_id, label, vector): digest of the vector, code, keys and vector as doubles of length one."""
-    width = len(model.rotation)
+def _facts(batches: Iterator[pa.RecordBatch], width: int, model: ItqModel, parts: int, chosen: int) -> Iterator[pa.RecordBatch]:
+    """Usable rows (vec_id, label, vector), by length: digest of the vector, code, keys and vector as doubles of length one."""
     for batch in batches:
-        unit, ok = unit_rows(batch.column(2).to_pylist(), width)
-        ok &= np.array([x is not None and i is not None for x, i in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True)], bool)
-        keep = np.flatnonzero(ok)
-        unit = unit[keep]
-        codes = model.codes(unit)
-        packed = np.packbits(codes, axis=1)
-        rows = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0).take(rows), batch.column(1).take(rows),
-                pa.array([xxhash.xxh3_128_digest(u.tobytes()) for u in unit + 0.0], pa.binary()),
-                pa.array([c.tobytes() for c in packed], pa.binary()),
-                pa.array(list(table_keys(codes, parts, chosen)), pa.list_(pa.int64())),
-                pa.array([u.tobytes() for u in unit], pa.binary()),
-            ],
-            ["vec_id", "label", "digest", "code", "keys", "unit"],
-        )
-
-
-FACTS = "vec_id long, label long, digest binary, code binary, keys array<long>, unit binary"
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+        vectors = batch.column(2).to_pylist()
+        named = [x is not None and i is not None for x, i in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True)]
+        of_length: dict[int, list[int]] = {}
+        for i, v in enumerate(vectors):
+            if v and named[i]:
+                of_length.setdefault(len(v), []).append(i)
+        for length, at in of_length.items():
+            unit, ok = unit_rows([vectors[i] for i in at], length)
+            unit = unit[ok] + 0.0
+            codes = (model if length == width else seeded_rotation(length)).codes(unit)
+            rows = pa.array(np.array(at, np.int64)[ok], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array([length] * len(unit), pa.int32()),
+                    pa.array([xxhash.xxh3_128_digest(u.tobytes()) for u in unit], pa.binary()),
+                    pa.array([c.tobytes() for c in np.packbits(codes, axis=1)], pa.binary()),
+                    pa.array(list(table_keys(codes, parts, chosen)), pa.list_(pa.int64())),
+                    pa.array([u.tobytes() for u in unit], pa.binary()),
+                ],
+                ["vec_id", "label", "width", "digest", "code", "keys", "unit"],
+            )
+
+
+FACTS = "vec_id long, label long, width int, digest binary, code binary, keys array<long>, unit binary"
 
 
 def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -148,12 +164,11 @@ def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple
     return [tuple(p) for p in np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0).tolist()]
 
 
-def _cuts(rows: DataFrame, key: Column, salt: str) -> DataFrame:
+def _cuts(rows: DataFrame, salt: str, scratch: Scratch) -> DataFrame:
     """Rows with a task ``k, i, j`` and side: a key's rows go to one task, or, if there are more than
     ``BLOCK``, to a task for each pair of their cuts."""
-    sized = rows.withColumn("k", key)
-    big = sized.groupBy("k").count().where(F.col("count") > BLOCK).select("k", F.ceil(F.col("count") / BLOCK).cast("int").alias("cuts"))
-    sized = sized.join(big, "k", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    big = scratch.save(rows.groupBy("k").count().where(F.col("count") > BLOCK).select("k", F.ceil(F.col("count") / BLOCK).cast("int").alias("cuts")), "big")
+    sized = rows.join(F.broadcast(big) if big.count() <= BROADCAST else big, "k", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     own = F.pmod(F.xxhash64(salt, F.lit("cut")), F.col("cuts")).cast("int")
     sized = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     return sized.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "cuts")
@@ -187,35 +202,67 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], ["a", "b"])
 
 
-def _near_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between codes of a bucket at most RADIUS bits apart."""
+class Retrieval:
+    """Which pairs of a bucket of table t are retrieved there: codes near, and no table before t where they meet."""
+
+    def __init__(self, parts: int, chosen: int):
+        of_part = np.arange(BITS) * parts // BITS
+        self.masks = [np.uint64(sum(1 << BITS - 1 - int(b) for b in np.flatnonzero(of_part == p))) for p in range(parts)]
+        self.first = np.full(1 << parts, -1, np.int16)  # the first table of pairs that agree in a set of parts
+        tables = [sum(1 << p for p in some) for some in combinations(range(parts), chosen)]
+        for agree in range(1 << parts):
+            self.first[agree] = next((t for t, need in enumerate(tables) if agree & need == need), -1)
+
+    def pairs(self, table: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        apart = a[:, None] ^ b[None, :]
+        agree = np.zeros(apart.shape, np.int16)
+        for p, mask in enumerate(self.masks):
+            agree |= ((apart & mask) == 0).astype(np.int16) << p
+        return (np.bitwise_count(apart) <= RADIUS) & (self.first[agree] == table)
+
+
+def _codes(rows: list[dict]) -> np.ndarray:
+    return np.frombuffer(b"".join(r["code"] for r in rows), ">u8").astype(np.uint64)
+
+
+CANDIDATE = "k long, i int, j int, own int, t int, vec_id long, code binary"
+
+
+def _retrieved(batches: Iterator[pa.RecordBatch], scheme: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """The rows of each task that are in a retrieved pair."""
+    choice, names = Retrieval(*scheme), [x.split()[0] for x in CANDIDATE.split(", ")]
     for task, rows in _grouped(batches):
         left, right = _sides(task, rows)
         if len(rows) < 2 or not left or not right:
             continue
-        a, b = (np.frombuffer(b"".join(r["code"] for r in side), np.uint8).reshape(len(side), -1) for side in (left, right))
-        edges = []
+        a, b, ia, ib = _codes(left), _codes(right), _ids(left), _ids(right)
+        hit_a, hit_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
         for at in range(0, len(a), 512):
-            apart = sum(_ONES[a[at : at + 512, None, k] ^ b[None, :, k]].astype(np.int16) for k in range(a.shape[1]))
-            edges += _forest(apart <= RADIUS, _ids(left[at : at + 512]), _ids(right))
-        if edges:
-            yield _edge_batch(edges)
+            found = choice.pairs(rows[0]["t"], a[at : at + 512], b) & (ia[at : at + 512, None] != ib[None, :])
+            hit_a[at : at + 512] |= found.any(1)
+            hit_b |= found.any(0)
+        kept = [r for r, hit in zip(left, hit_a, strict=True) if hit]
+        if task[1] != task[2]:
+            kept += [r for r, hit in zip(right, hit_b, strict=True) if hit]
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in kept], t) for x, t in zip(names, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names)
 
 
-def _rerank(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+def _rerank(batches: Iterator[pa.RecordBatch], scheme: tuple[int, int], cosine: float) -> Iterator[pa.RecordBatch]:
     """(vec_id, links, to): links counted in this task, or, with ``to``, an edge."""
+    choice = Retrieval(*scheme)
     for task, rows in _grouped(batches):
         left, right = _sides(task, rows)
         if len(rows) < 2 or not left or not right:
             continue
         a, b = (np.frombuffer(b"".join(r["unit"] for r in side), np.float64).reshape(len(side), -1) for side in (left, right))
-        ia, ib = _ids(left), _ids(right)
-        la, lb = (np.array([r["label"] for r in side], np.int64) for side in (left, right))
+        ia, ib, codes_a, codes_b = _ids(left), _ids(right), _codes(left), _codes(right)
         na, nb = (np.array([r["copies"] for r in side], np.int64) for side in (left, right))
         ca, cb, edges = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), []
         for at in range(0, len(a), 512):
             part = slice(at, at + 512)
-            linked = (a[part] @ b.T >= cosine) & (la[part, None] == lb[None, :]) & (ia[part, None] != ib[None, :])
+            linked = (a[part] @ b.T >= cosine) & (ia[part, None] != ib[None, :])
+            linked &= choice.pairs(rows[0]["t"], codes_a[part], codes_b)
             ca[part] += linked @ nb
             if task[1] != task[2]:
                 cb += na[part] @ linked
@@ -236,8 +283,8 @@ def _rerank(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Rec
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``.
 
-    Vectors link when their labels are equal and not null, and their cosine is at least
-    ``cosine``.  A vector that is null, zero, of another length than most or holds a null or
+    Vectors link when their labels are equal and not null, their lengths are equal, and their cosine is at least
+    ``cosine``.  A vector that is null, empty, zero or holds a null or
     non-finite component links with nothing, as does a row with a null label or id.
     ``n_links`` counts the other vectors linked directly, ``component_id`` is
     the smallest id that links reach, ``kept`` whether it is the row's own.
@@ -249,34 +296,33 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
     n = v.count()
     chance = F.pmod(F.xxhash64("vec_id", F.lit("itq")), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 30))
-    sample = [r.vector for r in v.where(F.col("vector").isNotNull()).where(chance).select("vector").limit(2 * SAMPLE).collect()]
-    if not sample:  # a table of few rows may miss the sample
-        sample = [r.vector for r in v.where(F.col("vector").isNotNull()).select("vector").limit(100).collect()]
+    sample = [r.vector for r in v.where(F.size("vector") > 0).where(chance).select("vector").limit(2 * SAMPLE).collect()]
     widths = [len(x) for x in sample]
-    width = max(set(widths), key=widths.count) if widths else 0
-    plain = v.select("vec_id")
-    if not width:
-        return plain.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    width = max(sorted(set(widths)), key=widths.count) if widths else 0  # the rotation is learned for the commonest length
     unit, ok = unit_rows(sample, width)
-    model, (parts, chosen) = fit_rotation(unit[ok]), tables_for(n)
-
-    facts = scratch.save(v.mapInArrow(lambda it: _facts(it, model, parts, chosen), FACTS), "facts")
-    classes = facts.groupBy("label", "digest").agg(F.min("vec_id").alias("lead"), F.count("*").alias("copies"))
-    members = scratch.save(facts.select("vec_id", "label", "digest").join(classes, ["label", "digest"]).select("vec_id", "lead", "copies"), "classes")
-    leads = scratch.save(members.where("vec_id = lead").select("vec_id", "copies").distinct(), "leads")
-    coded = facts.select("vec_id", "label", "code", F.explode("keys").alias("key")).join(leads.select("vec_id"), "vec_id", "left_semi")
-    buckets = _cuts(coded.select("vec_id", "label", "code", "key"), F.xxhash64("label", "key"), "vec_id").select("k", "i", "j", "own", "vec_id", "code")
-    near = buckets.repartition(partitions(spark), "k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(_near_codes, "a long, b long")
-    groups = scratch.save(connected_components(near, scratch, "near"), "groups")
-
-    shipped = groups.select(F.col("id").alias("vec_id"), F.col("component").alias("group")).join(leads, "vec_id").join(facts.select("vec_id", "label", "unit"), "vec_id")
-    tasks = _cuts(shipped, F.col("group"), "vec_id").select("k", "i", "j", "own", "vec_id", "label", "copies", "unit")
-    found = tasks.repartition(partitions(spark), "k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(lambda it: _rerank(it, cosine), "vec_id long, links long, to long")
-    found = scratch.save(found, "found")
-    counts = found.where("to is null").groupBy("vec_id").agg(F.sum("links").alias("links"))
+    model, scheme = fit_rotation(unit[ok]) if width else None, tables_for(n)
+
+    spread = F.pmod(F.xxhash64("vec_id", F.lit("spread")), F.lit(SPREAD)).cast("int").alias("spread")
+    facts = scratch.save(v.mapInArrow(lambda it: _facts(it, width, model, *scheme), FACTS).select("*", spread), "facts")
+    parts = scratch.save(facts.groupBy("label", "digest", "spread").agg(F.min("vec_id").alias("lead"), F.count("*").alias("copies")), "parts")
+    classes = parts.groupBy("label", "digest").agg(F.min("lead").alias("lead"), F.sum("copies").alias("copies"))
+    classes = scratch.save(classes, "classes")
+    parts = parts.select("label", "digest", "spread").join(classes, ["label", "digest"])  # SPREAD rows of a class at most
+    firsts = facts.join(classes.select("label", "digest", F.col("lead").alias("vec_id"), "copies"), ["label", "digest", "vec_id"]).dropDuplicates(["label", "digest"])
+    leads = scratch.save(firsts.select("vec_id", "label", "width", "copies", "code", "keys", "unit"), "leads")
+    coded = leads.select("vec_id", "label", "width", "code", F.posexplode("keys").alias("t", "key"))
+    buckets = _cuts(coded.select(F.xxhash64("label", "width", "t", "key").alias("k"), "t", "vec_id", "code"), "vec_id", scratch).select("k", "i", "j", "own", "t", "vec_id", "code")
+    dealt = lambda rows: rows.repartition(partitions(spark), "k", "i", "j").sortWithinPartitions("k", "i", "j")
+    near = scratch.save(dealt(buckets).mapInArrow(lambda it: _retrieved(it, scheme), CANDIDATE), "near")
+    shipped = near.join(leads.select("vec_id", "copies", "unit"), "vec_id").select("k", "i", "j", "own", "t", "vec_id", "code", "copies", "unit")
+    found = scratch.save(dealt(shipped).mapInArrow(lambda it: _rerank(it, scheme, cosine), "vec_id long, links long, to long"), "found")
+
+    counts = found.where("to is null").groupBy(F.col("vec_id").alias("lead")).agg(F.sum("links").alias("links"))
+    parts = parts.join(counts, "lead", "left").select("label", "digest", "spread", "lead", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    members = scratch.save(facts.select("vec_id", "label", "digest", "spread").join(parts, ["label", "digest", "spread"]).select("vec_id", "lead", "links"), "members")
     copies = members.where("vec_id <> lead").select(F.col("vec_id").alias("a"), F.col("lead").alias("b"))
     linked = connected_components(found.where("to is not null").select(F.col("vec_id").alias("a"), F.col("to").alias("b")).union(copies), scratch, "links")
-    totals = members.join(counts.withColumnRenamed("vec_id", "lead"), "lead", "left").groupBy("vec_id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = plain.join(totals, "vec_id", "left").join(linked.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    totals = members.groupBy("vec_id").agg(F.sum("links").alias("links"))
+    out = v.select("vec_id").join(totals, "vec_id", "left").join(linked.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -346,16 +346,13 @@ def open_shard(file: str) -> WaveletShard:
 
 
 def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, base): the documents of each file, ``base`` ids after all others."""
     for batch in batches:
-        for part, shard, file in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for file, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             w = open_shard(file)
             ids, starts = w.decode(), w.starts
             crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-            n = len(crc)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * n, pa.int32()), pa.array([shard] * n, pa.int32()), pa.array(w.doc_ids), pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array(crc, pa.int64())],
-                ["part", "shard", "doc_id", "local", "n_tokens", "ids_crc32"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(w.doc_ids, mask=w.doc_ids == NO_ID), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def shard_documents(shards: DataFrame) -> DataFrame:
@@ -368,9 +365,7 @@ def shard_documents(shards: DataFrame) -> DataFrame:
     within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_base"))
-    bases = sizes.select("part", "shard", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("base")).join(parts, "part")
-    # the list of files is short, the files are not: a few of them a task
-    files = shards.select("part", "shard", "file").repartition(partitions(shards.sparkSession), "part", "shard")
-    found = files.mapInArrow(_read_shards, "part int, shard int, doc_id long, local long, n_tokens long, ids_crc32 long")
-    found = found.join(bases, ["part", "shard"])
-    return found.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), (F.col("part_base") + F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    base = F.col("part_base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))
+    # a row for each file, of two million ids or more; the files are dealt anew, a few to a task
+    files = shards.select("part", "shard", "n_tokens", "file").join(parts, "part").select("file", base.alias("base")).repartition(partitions(shards.sparkSession), "file")
+    return files.mapInArrow(_read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -67,6 +67,38 @@ def test_tables_meet(monkeypatch):
         assert (q.table_keys(a, parts, chosen) == q.table_keys(b, parts, chosen)).any(1).all()
 
 
+@pytest.mark.parametrize("scheme", [(8, 1), (9, 2), (10, 3)])
+@pytest.mark.parametrize("cosine", [0.98, 0.985])
+def test_recall_of_pairs_at_the_threshold(spark, monkeypatch, scheme, cosine):
+    monkeypatch.setattr(q, "tables_for", lambda n: scheme)
+    rng, rows = np.random.default_rng(17), []
+    for i in range(1500):  # isolated pairs a little above the cosine
+        x, y = rng.normal(size=64), rng.normal(size=64)
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        y /= np.linalg.norm(y)
+        c = cosine + 1e-9
+        rows += [(2 * i, x.tolist(), i % 3), (2 * i + 1, (c * x + (1 - c * c) ** 0.5 * y).tolist(), i % 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in q.near_duplicates(df).collect()}
+    assert all(n <= 1 for n in got.values())
+    assert sum(got.values()) >= 0.98 * len(rows)
+
+
+def test_lengths_are_groups_of_their_own(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for length, times in ((64, 40), (3, 6), (5, 6), (130, 6), (1, 3)):
+        for _ in range(times):
+            base = rng.normal(size=length)
+            rows += [(len(rows) + x, (base * (x + 1)).tolist(), 1) for x in range(2)]
+    rows = [(i, v, c) for i, (_, v, c) in enumerate(rows)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in q.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    for i, v, _ in rows:
+        equal = [j for j, w, _ in rows if len(w) == len(v) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98]
+        assert got[i] == (len(equal) - 1, equal[0]), (i, len(v))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert q.near_duplicates(df).collect() == []

@@ -42,10 +42,13 @@ def german_window(start: Column, end: Column) -> Column:
 
 
 def modified_key(c: Column) -> Column:
-    """An ISO timestamp with offset as UTC; what can't be read is the earliest, which holds a watermark back."""
-    zoned = F.try_to_timestamp(F.when(F.rlike(c, F.lit(r"(Z|[+-]\d{2}:?\d{2})$")), c))
-    local = F.try_to_timestamp(F.when(F.rlike(c, F.lit(r"^\d{4}-\d{2}-\d{2}([T ][\d:.]+)?$")), c))
-    return F.coalesce(zoned, F.to_utc_timestamp(local, "Europe/Berlin"), F.lit("0001-01-01 00:00:00").cast("timestamp"))
+    """An ISO timestamp as an instant, local time in Berlin where it names no offset, whatever the session's zone; what can't be read is
+    the earliest, which holds a watermark back."""
+    zoned = F.when(F.rlike(c, F.lit(r"(Z|[+-]\d{2}:?\d{2})$")), c)
+    timed = F.when(F.rlike(c, F.lit(r"^\d{4}-\d{2}-\d{2}[T ][\d:.]+$")), F.concat(c, F.lit("Europe/Berlin")))
+    dated = F.when(F.rlike(c, F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.concat(c, F.lit("T00:00:00Europe/Berlin")))
+    read = lambda x: x.try_cast("timestamp")
+    return F.coalesce(F.try_to_timestamp(zoned), read(timed), read(dated), F.lit("0001-01-01T00:00:00Z").cast("timestamp"))
 
 
 def month_starts(first: Column, last: Column) -> Column:

@@ -137,7 +137,7 @@ def submitters(label: Column, fulltext: Column, doc_type: Column, patterns: list
 
 # ---------------------------------------------------------------- numbers of proposals
 
-#: A proposal number as headers write it.
+# Fixed value: a proposal number as headers write it.
 NUMBER = r"(?:Vorlage|Drucksache)(?:n-?\s?Nr\.?|nummer)?\s*[:\s]\s*(20\d{2}\s*[/-]\s*\d{3,5})"
 
 
@@ -177,6 +177,7 @@ def derived_anchor(anchor: Column, label: Column) -> Column:
 
 # ---------------------------------------------------------------- names
 
+# What counts as a title in names.
 TITLE = r"(?i)^(dr|prof|dipl|ing|med|rer|nat|phil|jur|habil|h|c)[.\-]*$"
 INLINE_TITLE = r"(?i)\b(?:dr|prof|dipl|ing|med|rer|nat|phil|jur|habil)\.\s*"
 
@@ -235,7 +236,7 @@ def text_status(text: Column, failed: Column | None = None) -> Column:
     return ok if failed is None else F.when(failed, "error").otherwise(ok)
 
 
-#: Characters kept of a text by purpose.
+# Characters kept of a text by purpose.
 CAPS = {"head": 800, "own_number": 1500, "bulk_prompt": 6000, "served": 8000, "prompt": 24_000, "references": 200_000, "stored": 400_000}
 
 
@@ -259,11 +260,3 @@ def ics_escape(c: Column) -> Column:
 def content_id(c: Column) -> Column:
     """First 16 digits of the SHA-1, for files without a number."""
     return F.substring(F.sha1(c), 1, 16)
-
-
-def search_terms(query: str) -> list[list[str]]:
-    """A user's query as phrases of words, ANDed; each phrase's last word is a prefix.
-
-    Letters, digits and hyphens make a term; a hyphen inside makes a phrase.
-    """
-    return [[w for w in t.split("-") if w] for t in re.findall(r"(?:[^\W_]|-)+", query)]

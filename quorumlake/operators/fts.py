@@ -1,8 +1,8 @@
 """Full-text search: postings, AND of prefix phrases, BM25, snippets.
 
 Tokens are runs of letters and digits, lower-cased and without diacritics (ß stays).  A
-posting is (doc, col, pos, term).  A query reads the postings of its words only; the
-index is written partitioned by the first two letters of the term, so a prefix reads one folder.
+posting is (doc, col, pos, term).  A query reads the postings of its words only: the
+index is written in ranges of terms, and a prefix or a word is pushed down to the files' statistics.
 """
 
 from __future__ import annotations
@@ -48,34 +48,28 @@ def lengths(docs: DataFrame, id_: str, columns: list[str]) -> DataFrame:
 
 
 def write_index(posted: DataFrame, path: str) -> None:
-    posted.withColumn("prefix", F.substring("term", 1, 2)).repartition("prefix", F.pmod(F.xxhash64("doc"), F.lit(8))).sortWithinPartitions("term", "doc").write.mode("overwrite").partitionBy("prefix").parquet(path)
+    """Postings in ranges of (term, doc), so that a frequent term takes as many files as it needs; files know their first and last term."""
+    posted.repartitionByRange("term", "doc", "col", "pos").sortWithinPartitions("term", "doc", "col", "pos").write.mode("overwrite").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str, id_type: str = "string") -> DataFrame:
-    return spark.read.schema(f"doc {id_type}, col int, pos int, term string, prefix string").parquet(path)
+    return spark.read.schema(f"doc {id_type}, col int, pos int, term string").parquet(path)
 
 
 def query_phrases(query: str) -> list[list[str]]:
-    """Phrases of folded words, as the index spells them."""
+    """Phrases of folded words, folded by the index's own table."""
     import re
     import unicodedata
 
-    def fold(word: str) -> str:
-        low = word.lower()
-        return "".join(c if c == "ß" else "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x)) for c in low)
-
-    return [p for t in re.findall(r"(?:[^\W_]|-)+", query) if (p := [fold(w) for w in t.split("-") if w])]
+    low = query.lower().translate(str.maketrans(*_FOLD_PAIRS))
+    plain = "".join(c for c in low if unicodedata.category(c) != "Mn")
+    return [p for t in re.findall(r"(?:[^\W_]|-)+", plain) if (p := [w for w in t.split("-") if w])]
 
 
 def phrase_hits(posted: DataFrame, phrase: list[str]) -> DataFrame:
     """(doc, hits): occurrences of a phrase inside one column; its last word is a prefix."""
     *whole, last = phrase
     ends = F.startswith(F.col("term"), F.lit(last))
-    if "prefix" in posted.columns:  # a written index: only the folders of these words are read
-        folders = F.startswith(F.col("prefix"), F.lit(last[:2]))
-        for w in whole:
-            folders = folders | (F.col("prefix") == w[:2])
-        posted = posted.where(folders)
     if not whole:
         return posted.where(ends).groupBy("doc").agg(F.count("*").alias("hits"))
     # every word votes for the place where the phrase would start

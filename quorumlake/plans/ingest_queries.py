@@ -101,7 +101,7 @@ def work_queue(spark, sf):
     return j.orderBy(F.desc("n_chars"), "doc_id").limit(40).select("doc_id")
 
 
-@query("SELECT doc_id, CASE WHEN lower(substr(text, 1, 2000)) LIKE '%apache%' THEN 'A' WHEN lower(substr(text, 1, 2000)) LIKE '%mit license%' THEN 'M' ELSE 'none' END AS kind FROM documents")
+@query("SELECT doc_id, CASE WHEN lower(text) LIKE '%apache%' THEN 'A' WHEN lower(text) LIKE '%mit license%' THEN 'M' ELSE 'none' END AS kind FROM documents")
 def recompute(spark, sf):
     from ..functions.text import first_rule
 

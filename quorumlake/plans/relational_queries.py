@@ -190,7 +190,7 @@ def nested_detail(spark, sf):
 
 @query("""
 WITH live AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, o_orderpriority AS body FROM orders),
-tk AS (SELECT o_orderkey AS ticker, CAST(o_orderdate AS DATE) AS d, o_orderpriority AS committee FROM orders WHERE o_orderkey % 10 = 3),
+tk AS (SELECT o_orderkey AS ticker, CAST(o_orderdate AS DATE) AS d, o_orderpriority AS committee FROM orders),
 j AS (SELECT ticker, count(*) AS n, min(id) AS only_one, min(CASE WHEN starts_with(body, substr(committee, 1, 12)) THEN id END) AS named FROM tk JOIN live USING (d) GROUP BY ticker)
 SELECT ticker, CASE WHEN n = 1 THEN only_one ELSE named END AS meeting_id FROM j
 """)
@@ -276,7 +276,7 @@ def tally_pivot(spark, sf):
 
 @query("""
 WITH f AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)
-SELECT p_partkey AS vorlage, o_custkey AS meeting_id, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS date, count(*) AS documents FROM part JOIN f ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey WHERE p_size < 10 GROUP BY 1, 2
+SELECT p_partkey AS vorlage, o_custkey AS meeting_id, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS date, count(*) AS documents FROM part JOIN f ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2
 """)
 def lifecycle_chain(spark, sf):
     t = Tables(spark, sf)
@@ -433,7 +433,7 @@ def slice_newest(spark, sf):
     return Tables(spark, sf).documents.select("doc_id").orderBy(F.col("doc_id").cast("long").desc()).limit(25)
 
 
-@query("SELECT doc_id, CASE WHEN length(trim(coalesce(substr(text, 1, 25), ''))) >= 20 THEN 'ok' ELSE 'needs_ocr' END AS text_status FROM documents")
+@query("SELECT doc_id, CASE WHEN length(trim(coalesce(text, ''))) >= 20 THEN 'ok' ELSE 'needs_ocr' END AS text_status FROM documents")
 def text_status(spark, sf):
     from ..functions.text import text_status as status
 

@@ -33,7 +33,10 @@ def _numbered(o):
     return F.concat(F.lit("Kopf\nVorlage: "), y, F.lit("/"), n, F.lit(" und Vorlagen-Nr. "), y, F.lit(" - "), n, F.lit("1, siehe Drucksache 2026/2027"))
 
 
-@query("SELECT o_orderkey, '2026/' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') || ' 2026/' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') || '1' AS refs, '2026/' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS own FROM orders WHERE o_orderkey % 10000 NOT BETWEEN 2025 AND 2027")
+@query("""
+WITH o AS (SELECT o_orderkey, '2026/' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS n, o_orderkey % 10000 BETWEEN 2025 AND 2027 AS years FROM orders)
+SELECT o_orderkey, CASE WHEN years THEN '' ELSE n || ' ' END || n || '1' AS refs, CASE WHEN years THEN n || '1' ELSE n END AS own FROM o
+""")
 def extract_codes(spark, sf):
     o = Tables(spark, sf).orders
     t = _numbered(o)
@@ -109,7 +112,7 @@ def parse_roll_name(spark, sf):
     return Tables(spark, sf).customer.select("c_custkey", text.roll_surname(name).alias("surname"), text.roll_initial(name).alias("initial"))
 
 
-@query("SELECT doc_id, replace(lower(substr(text, 1, 200)), 'ß', 'ss') AS folded FROM documents WHERE lang = 'de'")
+@query("SELECT doc_id, replace(lower(text), 'ß', 'ss') AS folded FROM documents")
 def casefold(spark, sf):
     return Tables(spark, sf).documents.select("doc_id", text.casefold(F.col("text")).alias("folded"))
 
@@ -137,7 +140,7 @@ def content_hash(spark, sf):
     return Tables(spark, sf).documents.select("doc_id", F.sha2("text", 256).alias("sha"), text.content_id(F.col("text")).alias("id"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(substr(text, 1, 500), '\s+', ' ', 'g')) AS t FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents")
 def squash_ws(spark, sf):
     return Tables(spark, sf).documents.select("doc_id", text.squash(F.col("text")).alias("t"))
 
@@ -188,13 +191,13 @@ def ts_key(spark, sf):
     return Tables(spark, sf).orders.select("o_orderkey", F.date_format(dates.modified_key(raw), "yyyy-MM-dd HH:mm:ss").alias("k"))
 
 
-@query("SELECT o_orderkey, CAST(CAST(m AS DATE) AS VARCHAR) AS month FROM (SELECT o_orderkey, unnest(generate_series(date_trunc('month', CAST(o_orderdate AS DATE)), date_trunc('month', CAST(o_orderdate AS DATE) + 65), INTERVAL 1 MONTH)) AS m FROM orders WHERE o_orderkey % 20 = 1)")
+@query("SELECT o_orderkey, CAST(CAST(m AS DATE) AS VARCHAR) AS month FROM (SELECT o_orderkey, unnest(generate_series(date_trunc('month', CAST(o_orderdate AS DATE)), date_trunc('month', CAST(o_orderdate AS DATE) + 65), INTERVAL 1 MONTH)) AS m FROM orders)")
 def month_sequence(spark, sf):
     o = Tables(spark, sf).orders
     return o.select("o_orderkey", F.explode(dates.month_starts(F.to_date("o_orderdate"), F.date_add(F.to_date("o_orderdate"), 65))).alias("m")).select("o_orderkey", F.col("m").cast("string").alias("month"))
 
 
-@query("SELECT page_id, replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '>', '&gt;'), '<', '&lt;') AS xml FROM pages")
+@query("SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '>', '&gt;'), '<', '&lt;') AS xml FROM pages")
 def xml_escape(spark, sf):
     return Tables(spark, sf).pages.select("page_id", text.xml_escape(F.col("html")).alias("xml"))
 
@@ -216,18 +219,18 @@ def page_title_links(spark, sf):
     return Tables(spark, sf).pages.select("page_id", page_title(F.col("html")).alias("title"), link_count(F.col("html")).cast("long").alias("n_links"))
 
 
-@query(r"SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"(https?://[^\"]*)\"', 1))) AS href FROM pages")
+@query(r"SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS href FROM pages")
 def page_links(spark, sf):
     from ..sources.pages import hrefs
 
-    return Tables(spark, sf).pages.select("page_id", F.explode(F.array_distinct(F.filter(hrefs(F.col("html")), lambda h: F.rlike(h, F.lit("^https?://"))))).alias("href"))
+    return Tables(spark, sf).pages.select("page_id", F.explode(F.array_distinct(hrefs(F.col("html")))).alias("href"))
 
 
-@query("SELECT doc_id, '<item><title>' || source || ' &amp; ' || lang || '</title><link>http://h/?doc=' || doc_id || '</link><guid isPermaLink=\"false\">' || doc_id || '</guid><description>' || lang || ' · ' || source || '</description></item>' AS item FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+@query("""SELECT doc_id, '<item><title>' || coalesce(source || ' &amp; ' || lang, CAST(doc_id AS VARCHAR)) || '</title><link>http://h/?doc=' || doc_id || '</link><guid isPermaLink="false">' || doc_id || '</guid><description>' || concat_ws(' · ', nullif(lang, ''), nullif(source, '')) || '</description></item>' AS item FROM documents""")
 def rss_items(spark, sf):
     from ..sources.feeds import rss_item
 
-    d = Tables(spark, sf).documents.where("source is not null and lang is not null")
+    d = Tables(spark, sf).documents
     return d.select("doc_id", rss_item(F.lit("http://h"), F.col("doc_id").cast("string"), F.concat(F.col("source"), F.lit(" & "), F.col("lang")), F.lit(None).cast("timestamp"), [F.col("lang"), F.col("source")], F.lit(None).cast("string")).alias("item"))
 
 

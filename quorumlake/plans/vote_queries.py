@@ -106,10 +106,10 @@ def fts_postings(spark, sf):
     return _index(spark, sf)[0].groupBy("doc").agg(F.count("*").alias("n"), F.count_distinct("term").alias("terms"))
 
 
-@query("SELECT * FROM (VALUES (0, 'foo bar'), (1, 'x')) t(pos, phrase)")
+@query(r"SELECT n_nationkey, pos, phrase FROM (SELECT n_nationkey, unnest(range(len(w) + 1)) AS pos, unnest(list_append(w, 'foo bar')) AS phrase FROM (SELECT n_nationkey, regexp_extract_all(lower(n_name), '[a-z0-9]+') AS w FROM nation))")
 def fts_tokens(spark, sf):
-    phrases = fts.query_phrases("foo-bar (x)")
-    return spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(phrases)], "pos int, phrase string")
+    names = Tables(spark, sf).nation.select("n_nationkey", "n_name").collect()  # 25 rows; queries are taken apart on the driver
+    return spark.createDataFrame([(n, i, " ".join(p)) for n, name in names for i, p in enumerate(fts.query_phrases(f"{name} (foo-bar)"))], "n_nationkey long, pos int, phrase string")
 
 
 def _bm25(words: list[str]) -> str:

@@ -4,37 +4,53 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from urllib.parse import quote
 from urllib.request import urlopen
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import dates, links, text
-from ..functions.links import requote_since
+from ..functions.links import with_parameters
+from ..streaming.watermarks import quarantined, without_deleted
 
 
 class CollectionError(RuntimeError):
     """A page failed; what was read so far must not move a watermark."""
 
 
-def walk(url: str, fetch: Callable[[str], dict | None], since: str | None = None, page_size: int = 1000, most: int = 100_000, fix: Callable[[str], str] = lambda u: u) -> Iterator[dict]:
-    """Objects of all pages.  Raises on a page that fails, holds no list, or comes again."""
-    url = f"{url}{'&' if '?' in url else '?'}limit={page_size}"
-    if since:
-        url += f"&modified_since={quote(since, safe='')}"
-    seen: set[str] = set()
-    while url and len(seen) < most:
-        if url in seen:
-            raise CollectionError(f"pages go round at {url}")
-        seen.add(url)
-        page = fetch(url)
-        if page is None or not isinstance(page.get("data"), list):
-            raise CollectionError(f"no data at {url}")
-        yield from page["data"]
-        after = (page.get("links") or {}).get("next")
-        url = requote_since(fix(after), since) if after else ""
+class Collection:
+    """A paginated collection, a page at a time.
+
+    ``since`` is put into every link anew.  There is no limit of pages: a collection ends where a page names no next one, and a
+    page that can't be read, holds no list of objects or was there before is an error, as whoever stops early must not
+    move a watermark.
+    """
+
+    def __init__(self, url: str, fetch: Callable[[str], dict | None], since: str | None = None, page_size: int = 1000, fix: Callable[[str], str] = lambda u: u):
+        self.fetch, self.since, self.fix = fetch, since, fix
+        self.first = with_parameters(url, limit=page_size, modified_since=since)
+
+    def pages(self) -> Iterator[list]:
+        been, at = {self.first}, self.first
+        while True:
+            body = self.fetch(at)
+            match body:
+                case {"data": list(rows)}:
+                    yield rows
+                case _:
+                    raise CollectionError(f"no list of objects at {at}")
+            following = (body.get("links") or {}).get("next")
+            if not following:
+                return
+            at = with_parameters(self.fix(following), modified_since=self.since)
+            if at in been:
+                raise CollectionError(f"{at} comes a second time")
+            been.add(at)
+
+    def objects(self) -> Iterator[dict]:
+        return (o for rows in self.pages() for o in rows)
 
 
 def fetch_json(url: str) -> dict | None:
@@ -53,7 +69,7 @@ class _Reader(DataSourceReader):
         return [InputPartition(u) for u in self.options["path"].split()]
 
     def read(self, partition):
-        for o in walk(partition.value, fetch_json, self.options.get("modified_since"), int(self.options.get("page_size", 1000))):
+        for o in Collection(partition.value, fetch_json, self.options.get("modified_since"), int(self.options.get("page_size", 1000))).objects():
             yield o.get("id"), o.get("modified"), bool(o.get("deleted")), json.dumps(o, ensure_ascii=False)
 
 
@@ -79,9 +95,40 @@ PAPER = f"id string, reference string, paperType string, deleted boolean, modifi
 
 
 def read_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One object a file, as dumps hold them; what can't be read is left out, deleted stubs too."""
-    rows = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").schema(schema).json(path)
-    return rows.where("id is not null and not coalesce(deleted, false)")
+    """One object a file, as dumps hold them, without deleted stubs; ``broken_objects`` has the files that can't be read."""
+    rows, _ = _dump(spark, path, schema)
+    return without_deleted(rows, F.col("deleted"))
+
+
+def broken_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``file, record`` of each file that holds no object with an id: to be counted, not lost."""
+    return _dump(spark, path, schema)[1]
+
+
+def _dump(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    read = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "record").schema(f"{schema}, record string").json(path)
+    rows = read.select("*", F.col("_metadata.file_name").alias("file"))
+    good, broken = quarantined(rows, F.when(F.col("record").isNull(), F.col("id")), ["id", "file", "record"])
+    return good.drop("file", "record"), broken.select("file", "record")
+
+
+def fetch_objects(ids: DataFrame, url_col: str, fetch: Callable[[str], dict | None] = fetch_json) -> DataFrame:
+    """``url, object, error`` for every link of a column, a task for each partition; what fails is a row with an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            objects, errors = [], []
+            for url in b.column(0).to_pylist():
+                try:
+                    found = fetch(url) if url else None
+                    objects.append(json.dumps(found, ensure_ascii=False) if found is not None else None)
+                    errors.append(None if found is not None else "no object")
+                except OSError as e:
+                    objects.append(None)
+                    errors.append(str(e) or type(e).__name__)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(objects, pa.string()), pa.array(errors, pa.string())], ["url", "object", "error"])
+
+    return ids.select(F.col(url_col).alias("url")).mapInArrow(run, "url string, object string, error string")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:

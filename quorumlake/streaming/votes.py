@@ -60,7 +60,9 @@ class StateFile:
         out = self._fs.create(temp, True)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
-        target = self._path(f"{self.folder}/{key}.json")
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        self._fs.rename(temp, target)
+        jvm = self.spark.sparkContext._jvm
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.rename(files.makeQualified(temp), files.makeQualified(self._path(f"{self.folder}/{key}.json")), how)

@@ -159,9 +159,9 @@ def test_line_ties(spark):
 
 
 def test_links():
-    url = links.requote_since("https://h/p?limit=10&modified_since=2026-07-25T16:46:24+02:00&page=2", "2026-07-25T16:46:24+02:00")
+    url = links.with_parameters("https://h/p?limit=10&modified_since=2026-07-25T16:46:24+02:00&page=2", modified_since="2026-07-25T16:46:24+02:00")
     assert url == "https://h/p?limit=10&page=2&modified_since=2026-07-25T16%3A46%3A24%2B02%3A00"
-    assert links.requote_since("https://h/p?x=1", None) == "https://h/p?x=1"
+    assert links.with_parameters("https://h/p?x=1", modified_since=None) == "https://h/p?x=1"
 
 
 def test_bounds_and_flags():
@@ -175,3 +175,35 @@ def test_query_phrases():
     assert fts.query_phrases("foo-bar (x)") == [["foo", "bar"], ["x"]]
     assert fts.query_phrases("!! --") == []
     assert fts.query_phrases("Schöne Straße") == [["schone"], ["straße"]]
+
+
+def test_modified_key_in_any_zone(spark):
+    df = spark.createDataFrame([("2026-07-25T16:46:24",), ("2026-07-25T16:46:24+02:00",), ("2026-07-25",), ("2026-01-25 10:00:00",), ("soon",), (None,)], "c string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    found = []
+    for z in ("UTC", "Europe/Berlin", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", z)
+        found.append([r.s for r in df.select(F.unix_micros(dates.modified_key(F.col("c"))).alias("s")).collect()])
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found[0] == found[1] == found[2]
+    assert [x // 10**6 for x in found[0][:4]] == [1784990784, 1784990784, 1784930400, 1769331600] and found[0][4] == found[0][5] == -62135596800 * 10**6
+
+
+def test_queries_fold_as_the_index_does(spark):
+    from quorumlake.operators import fts
+
+    rows = [(1, "Tiếng Việt"), (2, "ǎbc"), (3, "Müller Straße"), (4, "Cafe\u0301")]
+    d = spark.createDataFrame(rows, "id long, t string")
+    posted, sizes = fts.postings(d, "id", ["t"]), fts.lengths(d, "id", ["t"])
+    found = lambda q: {r.doc for r in fts.search(posted, sizes, q).collect()}
+    assert (found("Tiếng"), found("ǎbc"), found("muller STRASSE"), found("Müller-Straße"), found("Café"), found("cafe")) == ({1}, {2}, set(), {3}, {4}, {4})
+
+
+def test_state_is_replaced_whole(spark, tmp_path):
+    from quorumlake.streaming.votes import StateFile
+
+    state = StateFile(spark, f"file://{tmp_path}/state")
+    assert state.get("k") is None
+    for value in ({"a": 1}, ["ü"], "2026"):
+        state.set("k", value)
+        assert state.get("k") == value

@@ -5,6 +5,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 import pytest
 from pyspark.sql import functions as F
 
+from quorumlake.operators import merge
 from quorumlake.sources import external, feeds, oparl, pages
 
 ROSTER = """<table class="contenttable"><tr><td>x</td></tr></table>
@@ -22,11 +23,10 @@ MEETING = """<html><head><title>Stadt: Ratsinformation - Gemeinderat (öffentlic
 
 
 def test_roster(spark):
-    rows = pages.roster(ROSTER)
-    assert [(r["person_id"], r["name"], r["party"], r["party_code"], r["role"], r["since"]) for r in rows] == [("1", "Dr. Anna Müller", "CDU", "CDU", "Vorsitz", "seit 2019"), ("2", "Karl Schütz", "", "", "Sachkundig", "2014 - 2019")]
-    assert pages.roster(None) == [] == pages.roster("<table class='contenttable'></table>")
-    df = spark.createDataFrame([("b1", ROSTER), ("b2", None)], "body_id string, html string")
-    assert [r.person_id for r in pages.parse_rosters(df, "body_id", "html").collect()] == ["1", "2"]
+    df = spark.createDataFrame([("b1", ROSTER), ("b2", None), ("b3", "<table class='contenttable'></table>")], "body_id string, html string")
+    rows = pages.rosters(pages.page_links(df, "body_id", "html"), "body_id").orderBy("body_id", "seq").collect()
+    assert [(r.person_id, r.name, r.party, r.party_code, r.role, r.since) for r in rows] == [("1", "Dr. Anna Müller", "CDU", "CDU", "Vorsitz", "seit 2019"), ("2", "Karl Schütz", "", "", "Sachkundig", "2014 - 2019")]
+    assert {r.body_id for r in rows} == {"b1"}
 
 
 def test_meeting(spark):
@@ -41,27 +41,40 @@ def test_meeting(spark):
 
 
 def test_committees_calendar_ticker(spark):
-    assert pages.committees('<a href="x/organisation-gr-3">A  <b>b</b></a><a href="organisation-gr-3"> </a><a href="organisation-gr-3?y">C</a>') == {"organisation-gr-3": "C"}
+    links = lambda **html: pages.page_links(spark.createDataFrame([*html.items(), ("none", None)], "p string, html string"), "p", "html")
+    named = links(x='<a href="x/organisation-gr-3">A  <b>b</b></a><a href="organisation-gr-3"> </a><a href="organisation-gr-3?y">C</a>')
+    assert [tuple(r) for r in pages.committees(named, "p").collect()] == [("x", "organisation-gr-3", "C")]
     df = spark.createDataFrame([("termin-9 termin-10 termin-9",)], "h string")
     assert df.select(pages.calendar_ids(F.col("h")).alias("x")).first()["x"] == ["termin-10", "termin-9"]
     html = """<p>Sitzung. Gemeinderat (öffentlich) am 19. Mai 2026</p>
     <div><img src="https://h/file/highres1_TOP 1.jpg"> TOP 1 <strong>Ergebnis</strong><p>einstimmig
     angenommen</p></div><div>TOP 2.1<img src="https://h/file/highres2_TOP 2.1.jpg"></div><div>TOP 3 <strong>Ergebnis</strong><p>vertagt</p></div>"""
-    t = pages.ticker(html)
-    assert (t["committee"], t["date"]) == ("Gemeinderat", "2026-05-19")
-    assert [(x["top_label"], x["result_text"]) for x in t["tops"]] == [("TOP 1", "einstimmig angenommen"), ("TOP 2.1", None)]
-    assert [pages.ticker_anchor(x) for x in ("TOP 3.1", "TOP 4A", "TOP")] == ["top3.1", "top4a", None]
+    found = pages.tickers(spark.createDataFrame([("1", html), ("2", None)], "id string, html string"), "id", "html")
+    t, empty = found.orderBy("id").collect()
+    assert (t.committee, str(t.date)) == ("Gemeinderat", "2026-05-19")
+    assert [(x.top_label, x.result_text) for x in t.tops] == [("TOP 1", "einstimmig angenommen"), ("TOP 2.1", None)]
+    assert (empty.committee, empty.date, empty.tops) == (None, None, [])
+    votes = merge.merge_votes(pages.ticker_arrivals(found.withColumn("m", F.lit("termin-1")), "m", F.lit(1))).orderBy("id").collect()
+    assert [(v.id, v.result_text, v.source) for v in votes] == [("termin-1:top1", "einstimmig angenommen", "live"), ("termin-1:top2.1", None, "live")]
+    labels = spark.createDataFrame([("TOP 3.1",), ("TOP 4A",), ("TOP",)], "l string")
+    assert [r.a for r in labels.select(pages.ticker_anchor(F.col("l")).alias("a")).collect()] == ["top3.1", "top4a", None]
     link = lambda i, t="": f"<div><p>Eine ganz normale lange Zeile <a href='/{i}/live'>x</a>{t}</p></div>"
-    assert pages.live_ids(link(5) + link(7, " jetzt live")) == ["7"]
-    assert pages.live_ids("".join(map(link, range(10, 20)))) == [str(i) for i in range(10, 16)]
+    live = pages.live_tickers(links(some=link(5) + link(7, " jetzt live"), many="".join(map(link, range(10, 20)))), "p")
+    assert sorted(map(tuple, live.collect())) == [*(("many", str(i)) for i in range(10, 16)), ("some", "7")]
 
 
-def test_walk():
+def test_collections():
     site = {"u?limit=2&modified_since=2026%2B": {"data": [{"id": 1}], "links": {"next": "u?page=2&modified_since=2026+"}}, "u?page=2&modified_since=2026%2B": {"data": [{"id": 2}]}}
-    assert [o["id"] for o in oparl.walk("u", site.get, "2026+", 2)] == [1, 2]
+    assert [o["id"] for o in oparl.Collection("u", site.get, "2026+", 2).objects()] == [1, 2]
     for broken in ({"u?limit=2": None}, {"u?limit=2": {"data": "x"}}, {"u?limit=2": {"data": [], "links": {"next": "u?limit=2"}}}):
         with pytest.raises(oparl.CollectionError):
-            list(oparl.walk("u", broken.get, None, 2))
+            list(oparl.Collection("u", broken.get, None, 2).objects())
+
+
+def test_objects_by_link(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "u string")
+    got = {r.url: (r.object, r.error) for r in oparl.fetch_objects(df, "u", lambda u: {"id": u} if u == "a" else None).collect()}
+    assert got == {"a": ('{"id": "a"}', None), "b": (None, "no object"), None: (None, "no object")}
 
 
 def test_collection_source(spark):
@@ -99,6 +112,7 @@ def test_dump(spark, tmp_path):
     (m / "7.json").write_text("{broken")
     (t / "17.txt").write_text("viel Text\nzwei")
     rows = oparl.read_objects(spark, str(m), oparl.MEETING)
+    assert [(r.file, r.record) for r in oparl.broken_objects(spark, str(m), oparl.MEETING).collect()] == [("7.json", "{broken")]
     got = oparl.meeting_rows(rows).collect()
     assert [(r.id, r.body_id, str(r.date), r.time, r.location, r.public) for r in got] == [("termin-5", "organisation-gr-7", "2026-05-19", "15.30 bis 20 Uhr", "Saal", False)]
     assert [(r.anchor, r.title) for r in oparl.agenda_rows(rows).collect()] == [("top3.1", "Haus halt")]

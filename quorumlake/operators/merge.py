@@ -60,17 +60,68 @@ def source_priority(arrivals: DataFrame, keys: list[str], seq: str, source: str,
     return arrivals.groupBy(*keys).agg(F.coalesce(own, F.min_by(name, s)).alias(name), F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"))
 
 
-def classify_changes(new: DataFrame, prior: DataFrame, keys: list[str], size: str, modified: str, sha: str) -> DataFrame:
-    """``change`` of each incoming file: new, unchanged, touched (other metadata, same content) or changed.
+def classify_changes(new: DataFrame, prior: DataFrame, keys: list[str], size: str, modified: str, sha: str, readable: Column | None = None) -> DataFrame:
+    """``change`` of each incoming file: new, unchanged, touched (other metadata, same content), refused or changed.
 
     Size and modification time decide first; where both are equal, the content isn't looked at.
+    Content that isn't ``readable`` (a page in place of a PDF) is refused, whether there was a file before or not.
     """
     p = prior.select(*keys, F.col(size).alias("_size"), F.col(modified).alias("_modified"), F.col(sha).alias("_sha"), F.lit(True).alias("_known"))
-    same_meta = F.col(size).eqNullSafe(F.col("_size")) & F.col(modified).eqNullSafe(F.col("_modified"))
-    change = F.when(F.col("_known").isNull(), "new").when(same_meta, "unchanged").when(F.col(sha).eqNullSafe(F.col("_sha")), "touched").otherwise("changed")
+    same_meta = F.col("_known").isNotNull() & F.col(size).eqNullSafe(F.col("_size")) & F.col(modified).eqNullSafe(F.col("_modified"))
+    refused = F.lit(False) if readable is None else ~F.coalesce(readable, F.lit(False))
+    change = F.when(same_meta, "unchanged").when(refused, "refused").when(F.col("_known").isNull(), "new").when(F.col(sha).eqNullSafe(F.col("_sha")), "touched").otherwise("changed")
     return new.join(p, keys, "left").withColumn("change", change).drop("_size", "_modified", "_sha", "_known")
 
 
+#: Columns of files by where they come from: where a file hangs, and what belongs to its content.
+ASSOCIATION = ["meeting_id", "agenda_anchor", "label", "doc_type"]
+CONTENT = ["url", "filename", "sha256", "size", "remote_modified", "local_path", "text_status", "submitters", "downloaded_at"]
+
+
+def apply_changes(prior: DataFrame, classified: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, superseded versions) after files classified by ``classify_changes`` came in.
+
+    An unchanged file gets its association only, a touched one its modification time as well; new and
+    changed ones take all their columns and wait for enrichment anew, unless that was skipped on purpose; refused ones leave everything as it was.
+    """
+    new = classified.where("change <> 'refused'").select("id", "change", *(F.col(c).alias(f"n_{c}") for c in ASSOCIATION + CONTENT))
+    j = prior.withColumn("_was", F.lit(True)).join(new, "id", "full")
+    fresh, seen = F.col("change").isin("new", "changed"), F.col("change").isNotNull()
+    out = {c: F.when(seen, F.col(f"n_{c}")).otherwise(F.col(c)) for c in ASSOCIATION}
+    out |= {c: F.when(fresh, F.col(f"n_{c}")).otherwise(F.col(c)) for c in CONTENT}
+    out["remote_modified"] = F.when(fresh | (F.col("change") == "touched"), F.col("n_remote_modified")).otherwise(F.col("remote_modified"))
+    out["enrich_status"] = F.when(fresh, carried_status(F.col("enrich_status"))).otherwise(F.col("enrich_status"))
+    files = j.select(*(out.get(c, F.col(c)).alias(c) for c in prior.columns))
+    old = j.where(F.col("_was") & (F.col("change") == "changed") & F.col("sha256").isNotNull())
+    return files, old.select(F.col("id").alias("file_id"), "sha256", "size", "remote_modified", "local_path", "downloaded_at")
+
+
+def carried_status(before: Column) -> Column:
+    """Enrichment of content that came anew: what was skipped on purpose stays skipped, anything else waits."""
+    return F.when(before == "skipped", "skipped").otherwise("pending")
+
+
+def seed_actions(found: DataFrame, prior: DataFrame, keys: list[str], status: str = "text_status") -> DataFrame:
+    """``action`` for each file of a dump: ``refresh`` where its text is there already, ``retry`` where it isn't, else ``insert``."""
+    p = prior.select(*keys, F.col(status).alias("_status"), F.lit(True).alias("_known"))
+    action = F.when(F.col("_status") == "ok", "refresh").when(F.col("_known"), "retry").otherwise("insert")
+    return found.join(p, keys, "left").withColumn("action", action).drop("_status", "_known")
+
+
+def seed_files(prior: DataFrame, dump: DataFrame) -> DataFrame:
+    """Files after a dump's rows (association, ``url, filename, text_status, submitters``) were taken in.
+
+    Downloaded texts aren't overruled: such files get their association only.  Files that are inserted count as skipped for enrichment.
+    """
+    own = ["url", "filename", "text_status", "submitters"]
+    new = seed_actions(dump, prior, ["id"]).select("id", "action", *(F.col(c).alias(f"n_{c}") for c in ASSOCIATION + own))
+    j = prior.join(new, "id", "full")
+    out = {c: F.when(F.col("action").isNotNull(), F.col(f"n_{c}")).otherwise(F.col(c)) for c in ASSOCIATION}
+    out |= {c: F.when(F.col("action").isin("retry", "insert"), F.col(f"n_{c}")).otherwise(F.col(c)) for c in own}
+    out["enrich_status"] = F.when(F.col("action") == "insert", "skipped").otherwise(F.col("enrich_status"))
+    return j.select(*(out.get(c, F.col(c)).alias(c) for c in prior.columns))
+
+
 def version_history(arrivals: DataFrame, keys: list[str], seq: str, sha: str) -> DataFrame:
     """A row for each distinct content of a key that a later one superseded, with when that was.
 

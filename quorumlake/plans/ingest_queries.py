@@ -48,12 +48,12 @@ def source_priority(spark, sf):
     return out.select("user_id", "name", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_seen", "last_seen")))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 5 = 1 THEN 'unchanged' WHEN doc_id % 5 = 2 THEN 'touched' ELSE 'changed' END AS change FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 6 = 1 THEN 'unchanged' WHEN doc_id % 6 = 5 THEN 'refused' WHEN doc_id % 6 = 0 THEN 'new' WHEN doc_id % 6 = 2 THEN 'touched' ELSE 'changed' END AS change FROM documents")
 def change_detect(spark, sf):
     d = Tables(spark, sf).documents.select("doc_id", F.col("n_chars").alias("size"), F.lit("Mon").alias("modified"), F.sha2("text", 256).alias("sha"))
-    k = F.col("doc_id") % 5
+    k = F.col("doc_id") % 6
     prior = d.where(k != 0).withColumns({"modified": F.when(k == 1, "Mon").otherwise("Sun"), "sha": F.when(k <= 2, F.col("sha")).otherwise("other")})
-    return merge.classify_changes(d, prior, ["doc_id"], "size", "modified", "sha").select("doc_id", "change")
+    return merge.classify_changes(d, prior, ["doc_id"], "size", "modified", "sha", readable=k != 5).select("doc_id", "change")
 
 
 @query("WITH v AS (SELECT user_id, event_id, event_type AS sha, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events), r AS (SELECT *, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS superseded_at FROM v WHERE prev IS NULL OR prev <> sha) SELECT user_id, sha, min(event_id) AS event_id, min(superseded_at) AS superseded_at FROM r WHERE superseded_at IS NOT NULL GROUP BY 1, 2")
@@ -85,13 +85,14 @@ def retry_budget(spark, sf):
 @query("SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'refresh' WHEN l.doc_id IS NOT NULL THEN 'retry' ELSE 'insert' END AS action FROM documents d LEFT JOIN labels l USING (doc_id)")
 def seed_merge(spark, sf):
     t = Tables(spark, sf)
-    j = t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    return j.select("doc_id", F.when(F.col("quality") == 1, "refresh").when(F.col("quality").isNotNull(), "retry").otherwise("insert").alias("action"))
+    prior = t.labels.select("doc_id", F.when(F.col("quality") == 1, "ok").otherwise("missing").alias("text_status"))
+    return merge.seed_actions(t.documents.select("doc_id"), prior, ["doc_id"]).select("doc_id", "action")
 
 
 @query("SELECT doc_id, CASE WHEN quality = 0 THEN 'skipped' ELSE 'pending' END AS enrich_status, toxic FROM labels")
 def carry_over(spark, sf):
-    return Tables(spark, sf).labels.select("doc_id", F.when(F.col("quality") == 0, "skipped").otherwise("pending").alias("enrich_status"), "toxic")
+    before = F.when(F.col("quality") == 0, "skipped").when(F.col("toxic") == 0, "ok")
+    return Tables(spark, sf).labels.select("doc_id", merge.carried_status(before).alias("enrich_status"), "toxic")
 
 
 @query("SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.quality, 0) = 0 ORDER BY d.n_chars DESC NULLS LAST, d.doc_id LIMIT 40")

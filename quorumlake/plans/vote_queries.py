@@ -72,10 +72,12 @@ def top_dissenters(spark, sf):
     return rc.top_dissenters(rc.dissent(e, rc.party_lines(rc.party_counts(e))))
 
 
-@query(f"WITH {_ENTRIES}, v AS (SELECT vote_id, count(*) FILTER (WHERE vote = 'ja') AS ja, count(*) FILTER (WHERE vote = 'nein') AS nein, count(*) FILTER (WHERE vote = 'enthaltung') AS enth FROM e GROUP BY 1) SELECT count(*) AS votes, count(*) AS with_rollcall, count(*) FILTER (WHERE ja + nein + enth > 0 AND nein = 0 AND enth = 0) AS unanimous, count(*) FILTER (WHERE nein > 0) AS contested FROM v")
+@query(f"WITH {_ENTRIES}, v AS (SELECT vote_id, count(*) FILTER (WHERE vote = 'ja') AS ja, count(*) FILTER (WHERE vote = 'nein') AS nein, count(*) FILTER (WHERE vote = 'enthaltung') AS enth, count(*) FILTER (WHERE vote = 'abwesend') AS away FROM e GROUP BY 1) SELECT count(*) AS votes, count(*) FILTER (WHERE away > 0) AS with_rollcall, count(*) FILTER (WHERE ja + nein + enth > 0 AND nein = 0 AND enth = 0) AS unanimous, count(*) FILTER (WHERE nein > 0) AS contested FROM v")
 def vote_totals(spark, sf):
+    """Votes whose roll call lists who was away; the others have no members."""
     e = entries(spark, sf)
-    v = e.groupBy("vote_id").agg(*(F.count_if(F.col("vote") == k).alias(k) for k in rc.CAST)).withColumn("members", F.array(F.lit(1)))
+    away = F.collect_list(F.when(F.col("vote") == "abwesend", F.col("name")))
+    v = e.groupBy("vote_id").agg(*(F.count_if(F.col("vote") == k).alias(k) for k in rc.CAST), away.alias("members"))
     return rc.vote_totals(v)
 
 

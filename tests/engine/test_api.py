@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorumlake import schemas
-from quorumlake.functions.text import search_terms
+from quorumlake.operators.fts import query_phrases
 from quorumlake.operators import fts
 from quorumlake.plans.api import Store, rounded
 
@@ -69,7 +69,7 @@ def test_search(store, tmp_path):
     plan = fts.phrase_hits(fts.read_index(store.spark, f"{tmp_path}/postings"), ["stra"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(prefix" in plan and "StartsWith(prefix" in plan
     assert ids(store.search_documents("4-zz", index=str(tmp_path))) == []
-    assert search_terms("foo-bar (x)") == [["foo", "bar"], ["x"]]
+    assert query_phrases("foo-bar (x)") == [["foo", "bar"], ["x"]]
 
 
 def test_bm25_against_plain_formula(spark):

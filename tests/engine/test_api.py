@@ -67,7 +67,7 @@ def test_search(store, tmp_path):
     indexed = store.search_documents("schon Stra", index=str(tmp_path))
     assert [(r.id, round(r["rank"], 12)) for r in indexed.rows.collect()] == [(r.id, round(r["rank"], 12)) for r in found.rows.collect()]
     plan = fts.phrase_hits(fts.read_index(store.spark, f"{tmp_path}/postings"), ["stra"])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(prefix" in plan and "StartsWith(prefix" in plan
+    assert "PushedFilters: [IsNotNull(term), StringStartsWith(term,stra)]" in plan
     assert ids(store.search_documents("4-zz", index=str(tmp_path))) == []
     assert query_phrases("foo-bar (x)") == [["foo", "bar"], ["x"]]
 

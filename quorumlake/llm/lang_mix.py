@@ -76,10 +76,10 @@ def fit(training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     no language, and every prediction is ``und``.
     """
     t = training.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
-    sizes = {r.lang: r["n"] for r in t.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen = F.when(F.col("lang") == lang, F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30))).otherwise(chosen)
+    rate = F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")) * float(1 << 30)
+    rates = t.groupBy("lang").agg(rate.cast("long").alias("rate"))  # one row for each language
+    t = t.join(F.broadcast(rates), "lang")
+    chosen = F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1 << 30)) < F.col("rate")
     counts = t.where("text is not null").where(chosen).select("lang", "text").mapInArrow(_count, "lang string, bucket long, n long")
     rows = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).orderBy("lang").collect()
     logp = np.full((len(rows), BUCKETS), SMOOTHING)

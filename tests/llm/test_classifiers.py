@@ -122,3 +122,53 @@ def test_short_passage_of_a_long_text_is_kept():
     found = dict(lang_mix.languages_of(loglik, np.array([19_940.0, 60])))
     assert found.keys() == {0, 1} and found[1] < 0.01
     assert [i for i, _ in lang_mix.languages_of(loglik, np.array([20_000.0, 0]))] == [0]
+
+
+def test_whole_score_equals_plain_counting(spark, docs):
+    """A text's score from its words, pairs and shapes, counted one by one."""
+    model = queries.quality_model(spark, SF)
+    cut = lambda x: int(quality.mix64(np.array([x & (1 << 64) - 1], np.uint64))[0]) >> (64 - quality.BITS)
+    mix = lambda x: int(quality.mix64(np.array([x & (1 << 64) - 1], np.uint64))[0])
+    texts = [r.text for r in docs.limit(60).collect()] + ["", None, "one", "a a a b"]
+    table = quality.WordTable()
+    for text in texts:
+        words = (text or "").encode("utf-8", "replace").split()
+        h = [quality.xxhash.xxh3_64_intdigest(w.lower()) for w in words]
+        f = [quality.xxhash.xxh3_64_intdigest(quality.shape(w.decode("utf-8", "replace"))) for w in words]
+        single = [cut(x * 4) for x in h]
+        pair = [cut((mix(x) + y * 3) * 4 + 1) for x, y in zip(h, h[1:], strict=False)]
+        shapes = [cut((mix(x) + y * 3) * 4 + 2) for x, y in zip([1, *f], [*f, 1], strict=True)]
+        z = model.bias
+        for group, scale in zip((single, pair, shapes), quality.SCALE, strict=False):
+            z += scale * sum(float(model.weights[i]) for i in group) / len(group) if group else 0.0
+        z += quality.SCALE[3] * model.repeated * sum(x == y for x, y in zip(h, h[1:], strict=False)) / max(1, len(pair))
+        want = 1 / (1 + np.exp(-max(-30, min(30, z))))
+        assert abs(model.score(table.features(text)) - want) < 1e-4, text
+
+
+def test_sets_of_languages_against_all_sets(spark, docs):
+    """The set that elimination leaves, next to the best of all sets by the same penalised likelihood."""
+    from itertools import combinations
+
+    model = queries.language_model(spark, SF)
+    words, rng = lang_mix.WordLikelihoods(model), np.random.default_rng(2)
+    by_lang = {}
+    for r in docs.where("lang is not null and length(text) > 300").limit(400).collect():
+        by_lang.setdefault(r.lang, []).append(r.text[:400])
+    every = range(len(model.languages))
+
+    def cost(some, loglik, counts):
+        return -2 * lang_mix.mixture(loglik[:, list(some)], counts, rounds=200)[1] + np.log(counts.sum() + 1) * (len(some) - 1)
+
+    equal = tried = 0
+    for _ in range(60):
+        chosen = rng.choice(sorted(by_lang), rng.integers(1, 4), replace=False)
+        text = " ".join(by_lang[x][rng.integers(len(by_lang[x]))] for x in chosen)
+        loglik, counts = words.table(text)
+        sets = [s for n in range(1, len(every) + 1) for s in combinations(every, n)]
+        best = min(sets, key=lambda s: cost(s, loglik, counts))
+        found = tuple(sorted(i for i, _ in lang_mix.languages_of(loglik, counts)))
+        equal += found == best
+        tried += 1
+        assert cost(found, loglik, counts) <= cost(best, loglik, counts) + 6
+    assert equal >= 0.9 * tried

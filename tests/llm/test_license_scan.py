@@ -70,3 +70,31 @@ def test_every_occurrence(spark):
     rows = [(1, " ".join([line, "a b c", line, line])), (2, "x " * 1000 + f"{long} {long} " + "y " * 500 + long)]
     got = sorted((r.doc_id, r.template, r.first_word, r.end_word) for r in s.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(1, 0, a, a + 7) for a in (0, 10, 17)] + [(2, 2, a, a + n) for a in (1000, 1000 + n, 1500 + 2 * n)]
+
+
+def test_bands_alone_retrieve_edited_licences():
+    """Recall of the bands, without any exact look-up: whole licences of which a little over ``CONTAINED`` is left."""
+    rng, index = random.Random(5), s.TemplateIndex(s.TEMPLATES)
+    long = [t for t in range(len(s.TEMPLATES)) if len(index.sets[t]) > 100]
+    assert len(long) >= 3
+    met = tried = 0
+    for _ in range(120):
+        t = rng.choice(long)
+        words = s.license_words(s.TEMPLATES[t][1])
+        while True:  # each edit takes up to five shingles
+            edited = list(words)
+            edited[rng.randrange(len(edited))] = f"x{rng.random()}"
+            shingles = shingle_hashes(WordHashes().of(edited), s.K)
+            if len(np.intersect1d(shingles, index.sets[t])) < s.CONTAINED * len(index.sets[t]):
+                break
+            words = edited
+        noise = [f"n{rng.randrange(10**6)}" for _ in range(600)]
+        at = rng.randrange(200)
+        shingles = shingle_hashes(WordHashes().of(noise[:at] + words + noise[at:]), s.K)
+        size = len(index.sets[t])
+        step = -(-size // 4)
+        bands = index.sizes[size]
+        met += any(t in bands.get(key, ()) for start in range(0, len(shingles), step) for key in s.band_keys(shingles[start : start + size + step]))
+        tried += 1
+        assert t in {x[0] for x in index.scan(shingles)}
+    assert met == tried

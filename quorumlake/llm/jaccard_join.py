@@ -589,7 +589,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         blocks = _blocks(members, scratch, k, percent, REFINE_LEAST if i else HOT_LEAST, NARROW if i else WIDE, str(i))
         sizes = members.select("doc_id", (F.length("packed") / 8).cast("long").alias("n"))
         placed = scratch.save(blocks.select(F.col("component").alias("block"), F.col("id").alias("doc_id")).join(sizes, "doc_id"), "placed")
-        sets = scratch.save(_sized(placed).join(members, "doc_id").select("block", "doc_id", "elements", "leader", "packed"), f"sets-{i}")
+        sets = scratch.save(members.hint("merge").join(_sized(placed), "doc_id").select("block", "doc_id", "elements", "leader", "packed"), f"sets-{i}")
         scratch.drop(f"sets-{i - 1}" if i else "base")
         scratch.drop("placed")
         scratch.drop(f"members-{i}")

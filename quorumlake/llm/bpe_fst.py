@@ -22,7 +22,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -235,8 +237,17 @@ class BpeTransducer:
 _NEVER = 1 << 62
 
 
+# The usual pattern of byte-level vocabularies, and the letters and numbers below U+0250.
+_USUAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+
+
 class PieceEncoder(dict):
-    """Ids of a piece as little-endian u32; pieces seen lately are kept, up to a bound."""
+    """Ids of a piece as little-endian u32; pieces seen lately are kept, up to a bound.
+
+    Texts without characters from U+0250 on (and without those that the two libraries' white space tells apart) are split by the
+    standard library's expressions, which spell out the letters and numbers of the usual pattern; any other text or pattern by the pattern itself.
+    """
 
     LIMIT = 300_000
 
@@ -246,6 +257,10 @@ class PieceEncoder(dict):
 
         self.pieces, self.older = regex.compile(pattern).findall, {}
         self.machine = BpeTransducer(load_ranks(path))
+        if pattern == _USUAL:
+            plain = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+").findall
+            other, whole = re.compile("[\x1c-\x1f\u0250-\U0010ffff]").search, self.pieces
+            self.pieces = lambda text: whole(text) if other(text) else plain(text)
 
     def __missing__(self, piece: str) -> bytes:
         value = self.older.get(piece)
@@ -346,6 +361,9 @@ class ByteDecoder:
         self.closed = np.zeros(max(spelling) + 1, bool)  # tokens of whole characters
         for i, s in spelling.items():
             self.closed[i] = self._after(0, s) == 0
+        spelled = [spelling.get(i, b"") for i in range(len(self.closed))]
+        self.bytes, self.width = np.frombuffer(b"".join(spelled), np.uint8), np.array([len(x) for x in spelled], np.int64)
+        self.start = np.cumsum(self.width) - self.width
 
     @staticmethod
     def _after(state: int, data: bytes) -> int:
@@ -360,22 +378,42 @@ class ByteDecoder:
         state, waiting = 0, b""
         for at in range(0, len(ids), self.BLOCK):
             part = ids[at : at + self.BLOCK]
-            listed = part.tolist()
-            data = waiting + b"".join(map(self.spelling.__getitem__, listed))
-            waiting = b""
-            if state or not self.closed[part].all():
-                for i in listed:
-                    key = state, i
-                    state = self.after.get(key, -1)
-                    if state < 0:
-                        state = self.after[key] = self._after(key[0], self.spelling[i])
-                if state not in (0, _BROKEN):
-                    lead = len(data) - next(n for n in range(1, 4) if data[-n] & 0xC0 != 0x80)
-                    data, waiting = data[:lead], data[lead:]
+            state = self._run(state, part)
+            data, waiting = waiting + self._spelled(part), b""
+            if state not in (0, _BROKEN):
+                lead = len(data) - next(n for n in range(1, 4) if data[-n] & 0xC0 != 0x80)
+                data, waiting = data[:lead], data[lead:]
             yield data, state != _BROKEN
         if waiting:
             yield waiting, False
 
+    def _run(self, state: int, part: np.ndarray) -> int:
+        """The machine's state after the tokens; between characters, tokens of whole characters leave it there."""
+        opens = np.flatnonzero(~self.closed[part]).tolist()
+        if not opens and not state:
+            return 0
+        listed, at, n = part.tolist(), 0, len(part)
+        while state != _BROKEN:
+            if not state:
+                k = bisect_left(opens, at)
+                if k == len(opens):
+                    break
+                at = opens[k]
+            if at == n:
+                break
+            key = state, listed[at]
+            state = self.after.get(key, -1)
+            if state < 0:
+                state = self.after[key] = self._after(key[0], self.spelling[listed[at]])
+            at += 1
+        return state
+
+    def _spelled(self, part: np.ndarray) -> bytes:
+        """All bytes of the tokens, gathered from one table."""
+        width = self.width[part]
+        ends = np.cumsum(width)
+        return self.bytes[np.arange(ends[-1] if len(part) else 0) + np.repeat(self.start[part] - (ends - width), width)].tobytes()
+
     def decode(self, ids: np.ndarray) -> tuple[bytes, bool]:
         """(bytes, whether they are whole valid UTF-8)."""
         found = list(self.blocks(ids))

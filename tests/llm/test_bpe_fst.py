@@ -117,3 +117,17 @@ def test_blocks_hold_back_unfinished_characters(monkeypatch):
         whole = decoder.decode(cut)
         assert whole[0] == text.encode()[:-1] and whole[1] == (not text or text[-1] in "a ")
     assert decoder.decode(np.array([ranks[b"\x80"], ranks[b"a"]], "<u4")) == (b"\x80a", False)
+
+
+def test_both_splitters_agree():
+    import regex
+
+    assert public_tokenizers.PATTERN == b._USUAL
+    ours, theirs, rng = b.PieceEncoder(PATH, public_tokenizers.PATTERN).pieces, regex.compile(public_tokenizers.PATTERN).findall, random.Random(13)
+    every = [chr(i) for i in range(1, 0x260)]
+    for c in every:
+        for text in (c, c + c, f"a{c}b", f" {c}1", f"{c} {c}x", f"1{c}  "):
+            assert ours(text) == theirs(text), repr(text)
+    for _ in range(5000):
+        text = "".join(rng.choice(every) if rng.random() < 0.3 else rng.choice("ab 1'.s\n") for _ in range(rng.randrange(40)))
+        assert ours(text) == theirs(text), repr(text)

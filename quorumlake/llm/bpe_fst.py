@@ -178,6 +178,17 @@ class BpeTransducer:
         found = state[byte] = self._state(tuple(live)), ended
         return found
 
+    def last_token(self, state: State, byte: int) -> int:
+        """The last token of the prefix that ends with the byte, without the next state."""
+        for thread in state.threads:
+            nxt = self.edges.get((thread & 0xFFFFFFFF) << 8 | byte)
+            if nxt is not None and (token := self.token[nxt]) >= 0:
+                last = thread >> 32
+                fit = self.fits.get(last << 32 | token)
+                if self.compatible(last - 1, token) if fit is None else fit:
+                    return token
+        return -1
+
     def encode(self, piece: bytes) -> list[int]:
         """Ids of a piece; one that is a token as a whole is that token."""
         whole = self.ranks.get(piece)
@@ -188,9 +199,12 @@ class BpeTransducer:
         if len(self.states) > self.MAX_STATES or len(self.fits) > self.MAX_FITS:
             self._reset()
         state, ends = self.start, []
-        for byte in piece:
+        for byte in piece[:-1]:
             state, token = state[byte]
             ends.append(token)
+        if piece:  # what the last byte ends is all that is asked of it
+            known = state.get(piece[-1])
+            ends.append(known[1] if known is not None else self.last_token(state, piece[-1]))
         return self._settle(ends)
 
     def stream(self, piece: bytes) -> Iterator[list[int]]:

@@ -29,7 +29,8 @@ documents link when ``100 * |r & s| >= percent * |r | s|``, |r & s| > 0.
 4. Queries run only for documents that no search has yet put in the component of
    the block's leader: a component needs no second proof.  Blocks of more than
    ``BLOCK`` set elements are blocked anew by what is hot among their documents; those
-   still too large are cut by bands of set sizes and hash, and such queries go to the cuts of the bands in which partners can be.
+   still too large are cut by bands of set sizes and hash; members that are not in the block's largest component after
+   that query the cuts of the bands in which partners can be.
 
 Documents with equal sets are one class, and the one of least id stands for it from step 2 on.
 """
@@ -134,6 +135,10 @@ def found_in(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- T-occurrence
 
 
+#: Occurrences of each member in a query's short lists, on average, from which they are merged by counting.
+DENSE = 4
+
+
 class InvertedIndex:
     """Lists of members by shingle, over the sets of one block."""
 
@@ -195,8 +200,13 @@ class InvertedIndex:
         return who[(overlap > 0) & (100 * overlap >= percent * union)]
 
     def _merge_skip(self, lists: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-        """(member, occurrences) for members in at least ``least`` of the lists."""
+        """(member, occurrences) for members in at least ``least`` of the lists.  Where the lists are so dense
+        that the heap has next to nothing to skip, they are merged by counting."""
         members, found = self.members, []
+        if sum(e - s for s, e in lists) > DENSE * len(self.sizes):
+            times = np.bincount(np.concatenate([members[s:e] for s, e in lists]), minlength=len(self.sizes))
+            who = np.flatnonzero(times >= least)
+            return list(zip(who.tolist(), times[who].tolist(), strict=True))
         heap = [(int(members[s]), s, e) for s, e in lists]
         heapq.heapify(heap)
         while len(heap) >= least:
@@ -527,25 +537,36 @@ def _edges(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _search_cuts(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (cut, is_query, doc_id, packed), sorted with a cut's members before its queries."""
-    cut, ids, sets, index = None, [], [], None
+    """Rows (cut, is_query, doc_id, packed), sorted with a cut's members before its queries: of the links
+    that a cut's queries find, as many as span the components they make."""
+    cut, ids, sets, index, up = None, [], [], None, {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
     for batch in batches:
         links = []
-        for c, q, i, x in zip(*(batch.column(n).to_pylist() for n in range(4)), strict=True):
+        for c, q, i, x in zip(*(batch.column(n).to_pylist() for n in range(3)), batch.column(3), strict=True):
             if c != cut:
-                cut, ids, sets, index = c, [], [], None
-            values = np.frombuffer(x, np.uint64)
+                cut, ids, sets, index, up = c, [], [], None, {}
+            values = np.frombuffer(x.as_py(), np.uint64)
             if not q:
                 ids.append(i)
                 sets.append(values)
                 continue
             if index is None:
-                index = InvertedIndex(sets)
+                index, sets = InvertedIndex(sets), []
             for j in index.search(values, percent).tolist():
-                if ids[j] != i:
+                a, b = root(i), root(ids[j])
+                if a != b:
+                    up[max(a, b)] = min(a, b)
                     links.append((i, ids[j]))
         if links:
             yield _edges(links)
+    ids, sets, index, up = [], [], None, {}
+    give_back()
 
 
 # ---------------------------------------------------------------- the join
@@ -589,7 +610,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         blocks = _blocks(members, scratch, k, percent, REFINE_LEAST if i else HOT_LEAST, NARROW if i else WIDE, str(i))
         sizes = members.select("doc_id", (F.length("packed") / 8).cast("long").alias("n"))
         placed = scratch.save(blocks.select(F.col("component").alias("block"), F.col("id").alias("doc_id")).join(sizes, "doc_id"), "placed")
-        sets = scratch.save(members.hint("merge").join(_sized(placed), "doc_id").select("block", "doc_id", "elements", "leader", "packed"), f"sets-{i}")
+        sets = scratch.save(members.hint("merge").join(_sized(placed), "doc_id").select("block", "doc_id", "elements", "packed"), f"sets-{i}")
         scratch.drop(f"sets-{i - 1}" if i else "base")
         scratch.drop("placed")
         scratch.drop(f"members-{i}")
@@ -609,7 +630,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     for part in links:
         edges = edges.union(part)
     joined = connected_components(edges, scratch, "linked")
-    for name in (f"sets-{i}", "cuts", "led", "rest", *(f"links-{j}" for j in range(i + 1))):
+    for name in (f"sets-{i}", "cuts", "own", "led", "rest", *(f"links-{j}" for j in range(i + 1))):
         scratch.drop(name)
     component = classes.select("digest", "lead").join(joined.withColumnRenamed("id", "lead"), "lead", "left").select("digest", F.coalesce("component", "lead").alias("component_id"))
     component = parts.select("digest", "spread").join(component, "digest")  # SPREAD rows of a class at most
@@ -653,31 +674,35 @@ def _searched(sets: DataFrame, scratch: Scratch, percent: int, name: str) -> Dat
 
 
 def _sized(placed: DataFrame) -> DataFrame:
-    """``block, doc_id, n`` with the elements of each block and its least document."""
+    """``block, doc_id, n`` with the elements of each block."""
     placed = placed.withColumn("spread", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int"))
-    parts = placed.groupBy("block", "spread").agg(F.sum("n").alias("elements"), F.min("doc_id").alias("leader"))
-    whole = parts.groupBy("block").agg(F.sum("elements").alias("elements"), F.min("leader").alias("leader"))
+    parts = placed.groupBy("block", "spread").agg(F.sum("n").alias("elements"))
+    whole = parts.groupBy("block").agg(F.sum("elements").alias("elements"))
     return placed.join(parts.select("block", "spread").join(whole, "block"), ["block", "spread"]).drop("spread")
 
 
+#: Members of a cut's largest component, about, that query the other cuts.
+GLUE = 8
+
+
 def _large_blocks(large: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Links of blocks that don't fit one task.
 
     Cuts hold sets of one band of sizes, of a ratio of ``100 / percent``: a partner lies in the same
-    band or the next on either side.  First one leader of each block queries the cuts; then every member not found
-    linked to the leader does.  Members known to be linked to the leader need no query of
-    their own: their links to other members are found from the other side, or
-    lie within the leader's component.
+    band or the next on either side.  First each cut is searched on its own, as a block is; then some members of each cut's
+    largest component query the other cuts, which joins the components of cuts; then every member outside the
+    block's largest component queries the cuts.  Members of the largest component need no query of
+    their own: their links to other members are found from the other side, or lie within it.
     """
     spark = large.sparkSession
     size = F.length("packed") / 8
     band = F.floor(F.log(size) / math.log(100 / percent)).cast("int") if percent < 100 else size.cast("int")
-    members = large.select("block", "leader", "doc_id", band.alias("band"), "packed")
+    members = large.select("block", "doc_id", band.alias("band"), "packed")
     cuts = members.groupBy("block", "band").agg(F.ceil(F.sum(F.length("packed")) / F.lit(8 * BLOCK)).cast("int").alias("cuts"))
     cuts = scratch.save(cuts, "bands")  # a row for each band of each block; few blocks are large
     members = members.join(cuts, ["block", "band"])
     cut = lambda part: F.struct("block", "band", part.cast("int").alias("part"))
-    members = scratch.save(members.select(cut(F.pmod(F.xxhash64("doc_id"), "cuts")).alias("cut"), "block", "leader", "doc_id", "band", "packed"), "cuts")
+    members = scratch.save(members.select(cut(F.pmod(F.xxhash64("doc_id"), "cuts")).alias("cut"), "block", "doc_id", "band", "packed"), "cuts")
 
     def searched(queries: DataFrame, name: str) -> DataFrame:
         """Every query against the cuts of its block in which partners can be."""
@@ -688,6 +713,19 @@ def _large_blocks(large: DataFrame, scratch: Scratch, percent: int) -> DataFrame
         both = m.union(q).repartition(partitions(spark), "cut").sortWithinPartitions("cut", "q", "doc_id")
         return scratch.save(both.mapInArrow(lambda it: _search_cuts(it, percent), "a long, b long"), name)
 
-    led = searched(members.where("doc_id = leader"), "led")
-    rest = members.where("doc_id <> leader").join(led.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    return led.union(searched(rest, "rest"))
+    def largest(edges: DataFrame, per: str, tag: str) -> DataFrame:
+        """``doc_id`` of each member and whether it is in the largest component of its ``per``."""
+        found = connected_components(edges, scratch, tag).select(F.col("id").alias("doc_id"), "component")
+        placed = members.select(per, "doc_id").join(found, "doc_id", "left").select(per, "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        placed = scratch.save(placed, f"{tag}-placed")
+        sizes = placed.groupBy(per, "component").agg(F.count("*").alias("n")).groupBy(per).agg(F.max(F.struct("n", "component")).alias("top"))
+        return placed.join(sizes, per).select("doc_id", (F.col("component") == F.col("top.component")).alias("inside"))
+
+    own = members.select("cut", "doc_id", "packed").repartition(partitions(spark), "cut").sortWithinPartitions("cut", "doc_id")
+    own = scratch.save(own.mapInArrow(lambda it: _search_blocks(it, percent), "a long, b long"), "own")
+    inside = members.join(largest(own, "cut", "near").where("inside").select("doc_id").distinct(), "doc_id")
+    sizes = inside.groupBy("cut").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    glue = inside.join(sizes, "cut").where((F.col("doc_id") == F.col("first")) | (F.pmod(F.xxhash64("doc_id", F.lit("glue")), F.col("n")) < GLUE))
+    led = searched(glue, "led")
+    outside = largest(own.union(led), "block", "joined").where("not inside").select("doc_id")
+    return own.union(led).union(searched(members.join(outside, "doc_id", "left_semi"), "rest"))

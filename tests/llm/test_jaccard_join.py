@@ -67,6 +67,36 @@ def test_large_blocks_are_cut(spark, monkeypatch):
     assert got == brute(rows, 3, 90)
 
 
+def test_near_copies_of_a_large_block_are_few_queries_and_links(spark, monkeypatch):
+    """Edited copies of one text, of which the least one links with few others."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 6000)
+    rng, found, asked = random.Random(3), [], []
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(240):
+        words = list(base)
+        for _ in range(rng.randint(1, 3) if i else 4):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    large, save = jaccard_join._large_blocks, jaccard_join.Scratch.save
+
+    def counted(*args):
+        links = large(*args)
+        found.append(links.count())
+        return links
+
+    def saved(self, df, name):
+        if name == "rest":
+            asked.append(df.count())
+        return save(self, df, name)
+
+    monkeypatch.setattr(jaccard_join, "_large_blocks", counted)
+    monkeypatch.setattr(jaccard_join.Scratch, "save", saved)
+    got = {r[0]: (r[1], r[2]) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 5, 80)
+    assert found and sum(found) < 4 * len(rows)
+    assert asked and sum(asked) < len(rows)
+
+
 def test_search_equals_counting():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)

@@ -137,6 +137,8 @@ def found_in(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 #: Occurrences of each member in a query's short lists, on average, from which they are merged by counting.
 DENSE = 4
+#: Candidates known to be in the leader's component that are probed before all others.
+LIKELIEST = 64
 
 
 class InvertedIndex:
@@ -161,8 +163,10 @@ class InvertedIndex:
         shared = np.bincount(self.members[np.repeat(lengths > 1, lengths)], minlength=len(self.sizes))
         return shared >= np.maximum(1, -(-percent * self.sizes // 100))
 
-    def search(self, query: np.ndarray, percent: int, member: bool = False) -> np.ndarray:
-        """Members that link with the query, ascending; whether a query that is a ``member`` finds itself is open."""
+    def search(self, query: np.ndarray, percent: int, member: bool = False, joined: np.ndarray | None = None) -> np.ndarray:
+        """Members that link with the query, ascending; whether a query that is a ``member`` finds itself is open.
+
+        If one of the likeliest of the ``joined`` members links, it is all that comes back."""
         at = np.searchsorted(self.keys, query)
         inside = at < len(self.keys)
         at, asked = at[inside], query[inside]
@@ -187,6 +191,15 @@ class InvertedIndex:
             return np.empty(0, np.int64)
         who = np.array([m for m, _ in found], np.int64)
         overlap = np.array([n for _, n in found], np.int64)
+        if joined is not None:
+            near = np.flatnonzero(joined[who])
+            near = np.sort(near[np.argsort(-overlap[near], kind="stable")[:LIKELIEST]])
+            if 2 * len(near) < len(who) and len(hit := self._probe(len(query), who[near], overlap[near], long, need, percent)):
+                return hit[:1]
+        return self._probe(len(query), who, overlap, long, need, percent)
+
+    def _probe(self, size: int, who: np.ndarray, overlap: np.ndarray, long: list[tuple[int, int, int]], need: int, percent: int) -> np.ndarray:
+        """Of the candidates, those that link with a query of that size once the long lists are probed."""
         for done, (_, s, e) in enumerate(long):
             alive = overlap + (len(long) - done) >= need
             if not alive.all():
@@ -196,7 +209,7 @@ class InvertedIndex:
             run = self.members[s:e]
             place = np.minimum(np.searchsorted(run, who), len(run) - 1)
             overlap = overlap + (run[place] == who)
-        union = len(query) + self.sizes[who] - overlap
+        union = size + self.sizes[who] - overlap
         return who[(overlap > 0) & (100 * overlap >= percent * union)]
 
     def _merge_skip(self, lists: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
@@ -257,13 +270,18 @@ def block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
     hopeful = index.hopeful(percent)
     if not hopeful.any():
         return links
-    searched = ~hopeful
+    searched, joined = ~hopeful, np.zeros(len(ids), bool)
 
     def query(i: int) -> None:
+        # once it holds most members, one link into the leader's component is enough: others make queries of their own
         searched[i] = True
-        for j in index.search(sets[i], percent, member=True).tolist():
+        found = index.search(sets[i], percent, member=True, joined=joined if 10 * joined.sum() > 7 * len(ids) else None)
+        for j in found.tolist():
             if forest.join(i, j):
                 links.append((ids[i], ids[j]))
+        if forest.root(i) == forest.root(lead):
+            joined[i] = True
+            joined[found] = True
 
     able = np.flatnonzero(hopeful)
     lead = int(able[np.argsort(index.sizes[able], kind="stable")[len(able) // 2]])
